@@ -40,24 +40,27 @@ def _ids(rules: list[Rule], detector: str) -> list[int]:
 
 
 def _trimmed(rules: list[Rule], compat: bool) -> dict[str, str]:
-    """Start, end and value without stray blanks or separators."""
+    """Start, end, value and context without stray blanks or separators in the value."""
     right = [i for i, r in enumerate(rules) if r.trim == "right"]
     both = [i for i, r in enumerate(rules) if r.trim == "both"]
-    start, end, value = "start", "end", "raw_value"
+    start, end, value, left_ctx, right_ctx = "start", "end", "raw_value", "left_ctx", "right_ctx"
     if both:
         lead, tail = (f"length(regexp_extract(raw_value, {q(p)}, 0))" for p in (r"(?U)^\s+", r"(?U)\s+$"))
         cut = in_list("rule", both)
         if not compat:
             start = f"if({cut}, start + {lead}, start)"
             end = f"if({cut}, greatest(start + {lead}, end - {tail}), end)"
+            left_ctx = f"if({cut}, concat(left_ctx, left(raw_value, {lead})), left_ctx)"
+            right_ctx = f"if({cut}, concat(right(raw_value, {tail}), right_ctx), right_ctx)"
         strip = q(r"(?U)^\s+|\s+$")
         value = f"if({cut}, regexp_replace(raw_value, {strip}, ''), raw_value)"
     if right and not compat:
         cut = in_list("rule", right)
         tail = f"regexp_extract(raw_value, {q(r'(?U)[\s.-]+$')}, 0)"
+        right_ctx = f"if({cut}, concat({tail}, right_ctx), {right_ctx})"
         end = f"if({cut}, end - length({tail}), {end})"
         value = f"if({cut}, left(raw_value, length(raw_value) - length({tail})), {value})"
-    return {"start": start, "end": end, "raw_value": value}
+    return {"start": start, "end": end, "raw_value": value, "left_ctx": left_ctx, "right_ctx": right_ctx}
 
 
 def _valid(rules: list[Rule], min_entropy: float) -> str:
@@ -115,7 +118,7 @@ def candidate_spans(
     spans = marked.selectExpr("doc_id", "ord", f"inline({arrays})")
     trimmed = _trimmed(rules, compat)
     spans = spans.selectExpr(
-        "doc_id", "ord", "rule", *(f"{sql} as {c}" for c, sql in trimmed.items()), "left_ctx", "right_ctx"
+        "doc_id", "ord", "rule", *(f"{sql} as {c}" for c, sql in trimmed.items())
     ).where(f"rule >= {PROTECTED_ID} or ({_valid(rules, min_entropy)})")
     if protect:
         spans = with_cover(spans)
