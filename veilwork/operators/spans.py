@@ -21,17 +21,19 @@ _LONG_RUN = "[A-Za-z0-9+/]{32}"
 
 
 def _parts_if_found(rule: Rule, text: str, mark: str) -> str:
-    """Marked parts, or null when the rule has no match (the usual case, and then nothing is copied).
+    """Marked parts, or null when the rule has no match.
 
-    The literals a rule needs are looked for first; ``_low`` and ``_long`` are columns of the text row.
+    The literals a rule needs are looked for first, so most texts never meet the pattern; ``_low`` and
+    ``_long`` are columns of the text row.
     """
     checks = [" or ".join(f"contains({text}, {q(s)})" for s in group) for group in rule.needs]
     checks += [" or ".join(f"contains(_low, {q(s)})" for s in group) for group in rule.low_needs]
     if rule.long_run:
         checks.append("_long")
-    checks.append(f"{text} rlike {q(rule.finder)}")
-    found = " and ".join(f"({c})" for c in checks)
-    return f"if({found}, {marked_parts(text, q(rule.pattern), mark)}, null)"
+    new = f"concat({mark}, '$0', {mark})" if rule.plain else f"concat('$1', {mark}, '$2', {mark}, '$3')"
+    marked = f"regexp_replace({text}, {q(rule.pattern)}, {new})"
+    parts = f"get(transform(array({marked}), m -> if(contains(m, {mark}), split(m, {mark}), null)), 0)"
+    return f"if({' and '.join(f'({c})' for c in checks)}, {parts}, null)" if checks else parts
 
 
 def with_mark(docs: DataFrame, keep: list[str]) -> DataFrame:
