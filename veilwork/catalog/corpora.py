@@ -1 +1,123 @@
-"""Queries."""
+"""Files as corpora and tables, and documents that arrive over time."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators.detect import detect
+from ..operators.registry import register
+from ..operators.rewrite import anonymize
+from ..plans import stage, stage_root
+from ..sources.corpus import list_files, read_corpus, read_table, read_values, write_corpus
+from ..streaming.incremental import anonymize_stream, deanonymize_stream, without_replays
+from .registry import CASE, documents, first_empty, query, table
+
+
+def _folder(spark, name):
+    return f"{stage_root(spark)}/veilwork/{name}-{uuid.uuid4().hex}"
+
+
+def _talks(spark, sf):
+    """One text file per conversation, one line break after each turn."""
+    root = _folder(spark, "talks")
+    talks = table(spark, sf, "conversations").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    talks.select("conv_id", "text").write.partitionBy("conv_id").text(root)
+    return root
+
+
+_TALKS = "select conv_id, string_agg(text || chr(10), '' order by turn) as text from conversations group by conv_id"
+
+
+@query("read_corpus", f"""
+  select 'conv_id=' || cast(conv_id as varchar) as folder, md5(text) as text_hash, sha256(text) as file_hash,
+    row_number() over (order by 'conv_id=' || cast(conv_id as varchar) || '/') as ord
+  from ({_TALKS})""")
+def q_read_corpus(spark, sf):
+    """Text files in path order, decoded, with their content hash."""
+    docs = read_corpus(spark, _talks(spark, sf))
+    return docs.selectExpr("split_part(path, '/', 1) as folder", "md5(text) as text_hash", "file_hash", "ord")
+
+
+@query("list_files", f"select 'conv_id=' || cast(conv_id as varchar) as folder, cast(strlen(text) as bigint) as length from ({_TALKS})")
+def q_list_files(spark, sf):
+    return list_files(spark, _talks(spark, sf)).selectExpr("split_part(path, '/', 1) as folder", "length")
+
+
+@query("read_table", "select cast(c_custkey as varchar) as c_custkey, c_name, c_mktsegment from customer")
+def q_read_table(spark, sf):
+    """A delimited file with header, all columns as strings."""
+    path = _folder(spark, "customer") + ".tsv"
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(path, header=True, sep="\t")
+    return read_table(spark, path).drop("row_id")
+
+
+@query("read_values", "select distinct trim(c_mktsegment) as value from customer")
+def q_read_values(spark, sf):
+    """One column of a CSV file as a list of protected values."""
+    path = _folder(spark, "values") + ".csv"
+    table(spark, sf, "customer").select("c_custkey", "c_mktsegment").write.csv(path)
+    return read_values(spark, path, 1).select("value")
+
+
+@query("write_corpus", "select 'case-1' as case_id, doc_id, md5(text) as text_hash from documents")
+def q_write_corpus(spark, sf):
+    """Documents written as a new table partitioned by case."""
+    out = _folder(spark, "corpus")
+    write_corpus(documents(spark, sf), out, CASE)
+    return spark.read.parquet(out).selectExpr("case_id", "doc_id", "md5(text) as text_hash")
+
+
+def _arrivals(spark, sf):
+    """The documents as three files that a stream reads one at a time."""
+    folder = _folder(spark, "arrivals")
+    for i in range(3):
+        part = table(spark, sf, "documents").where(F.col("doc_id") % 3 == i)
+        part.selectExpr(
+            "cast(doc_id as string) as doc_id", "doc_id as ord", "concat('d/', doc_id) as path", "text"
+        ).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema("doc_id string, ord bigint, path string, text string").option(
+        "maxFilesPerTrigger", 1
+    ).parquet(folder)
+
+
+def _run(writer, spark):
+    writer.option("checkpointLocation", _folder(spark, "query")).trigger(availableNow=True).start().awaitTermination()
+
+
+@query("stream_anonymize")
+def stream_anonymize(spark, sf):
+    """Arriving documents: each batch registers its values and is rewritten with all known ones."""
+    state, out = _folder(spark, "state"), _folder(spark, "out")
+    _run(anonymize_stream(_arrivals(spark, sf), state, out, CASE), spark)
+    return spark.read.parquet(out).select("doc_id", "text", "n_hits", "batch")
+
+
+@query("stream_restore", "select cast(doc_id as varchar) as doc_id, md5(text) as text_hash from documents")
+def stream_restore(spark, sf):
+    """A stream of rewritten documents restored from a fixed registry."""
+    docs = documents(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
+    registry = register(detect(docs, protect=True).drop("left_ctx", "right_ctx"), first_empty(spark), CASE)
+    folder, out = _folder(spark, "rewritten"), _folder(spark, "out")
+    anonymize(docs, registry, CASE).select("doc_id", "text").write.parquet(folder)
+    rewritten = spark.readStream.schema("doc_id string, text string").parquet(folder)
+    _run(deanonymize_stream(rewritten, registry, out, CASE), spark)
+    return spark.read.parquet(out).selectExpr("doc_id", "md5(text) as text_hash")
+
+
+@query("stream_without_replays", "select doc_id, md5(text) as text_hash from documents")
+def stream_without_replays(spark, sf):
+    """Every document is sent twice and kept once."""
+    sent = stage(
+        table(spark, sf, "documents").selectExpr(
+            "doc_id", "concat('d/', doc_id) as path", "text",
+            "explode(array(timestamp'2026-01-01 00:00:00', timestamp'2026-01-01 00:05:00')) as sent_at",
+        ),
+        "sent",
+    )
+    stream = spark.readStream.schema(sent.schema).parquet(sent.inputFiles()[0].rsplit("/", 1)[0])
+    out = _folder(spark, "out")
+    writer = without_replays(stream, "sent_at", "1 hour").writeStream.format("parquet").option("path", out)
+    _run(writer, spark)
+    return spark.read.parquet(out).selectExpr("doc_id", "md5(text) as text_hash")

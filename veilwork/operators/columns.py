@@ -109,9 +109,9 @@ def put_back(table: DataFrame, columns: list[str], mapping: DataFrame) -> DataFr
 
 
 def register_table(
-    table: DataFrame, row_id: str, columns: list[str], registry: DataFrame, case_id: str
+    table: DataFrame, row_id: str, distinct: DataFrame, registry: DataFrame, case_id: str
 ) -> DataFrame:
-    """Registry of the case after a column-aware run (staged).
+    """Registry of the case after a column-aware run; ``distinct`` are the distinct target cells.
 
     1. The text of every row, kept columns included, is detected and registered.
     2. Target cells with a detected value register that value; all other target cells of at least two
@@ -123,9 +123,7 @@ def register_table(
         "concat_ws(',', " + ", ".join(f"`{c}`" for c in texts) + ") as text",
     )
     first = detect(lines, protect=True).drop("left_ctx", "right_ctx")
-    grown = stage(registry.unionByName(register(first, registry, case_id)), "registry")
-
-    distinct = stage(distinct_cells(cells(table, row_id, columns)), "cells")
+    grown = registry.unionByName(register(first, registry, case_id))
     known = grown.where(F.col("case_id") == case_id).selectExpr("raw_value as doc_id")
     open_cells = distinct.join(known, "doc_id", "left_anti")
     inner = stage(detect(open_cells, protect=True).drop("left_ctx", "right_ctx"), "cell-spans")
@@ -138,7 +136,7 @@ def register_table(
         )
     )
     second = inner.select(blind.columns).unionByName(blind)
-    return stage(grown.unionByName(register(second, grown, case_id)), "registry")
+    return grown.unionByName(register(second, grown, case_id))
 
 
 def anonymize_table(
@@ -158,20 +156,32 @@ def anonymize_table(
     """
     wanted = template_columns(template, pii_columns, keep_columns)
     columns = [c for c in target_columns(table.columns, *wanted) if c in string_columns(table) and c != row_id]
-    grown = register_table(table, row_id, columns, registry, case_id)
-    return replace_cells(table, row_id, columns, grown, case_id, whole_first=True), grown
+    distinct = stage(distinct_cells(cells(table, row_id, columns)), "cells")
+    grown = register_table(table, row_id, distinct, registry, case_id)
+    return _replaced(table, columns, distinct, grown, case_id, whole_first=True), grown
 
 
 def replace_cells(
-    table: DataFrame, row_id: str, columns: list[str], registry: DataFrame, case_id: str, whole_first: bool = False
+    table: DataFrame, row_id: str, columns: list[str], registry: DataFrame, case_id: str
 ) -> DataFrame:
     """Replace registered values in the target columns; nothing new is registered."""
-    distinct = distinct_cells(cells(table, row_id, columns)).select("doc_id", "ord", "text")
-    new = anonymize(stage(distinct, "cells"), registry, case_id).selectExpr("doc_id as value", "text as new_value")
+    distinct = stage(distinct_cells(cells(table, row_id, columns)), "cells")
+    return _replaced(table, columns, distinct, registry, case_id)
+
+
+def _replaced(
+    table: DataFrame, columns: list[str], distinct: DataFrame, registry: DataFrame, case_id: str,
+    whole_first: bool = False,
+) -> DataFrame:
+    texts = distinct.select("doc_id", "text")
+    known = registry.where(F.col("case_id") == case_id).selectExpr("raw_value as value", "token")
     if whole_first:
-        known = registry.where(F.col("case_id") == case_id).selectExpr("raw_value as value", "token")
-        new = new.join(known, "value", "left").selectExpr("value", "coalesce(token, new_value) as new_value")
-    return put_back(table, columns, stage(new.where("new_value <> value"), "new-cells"))
+        # whole values need no search inside the cell
+        whole = texts.withColumnRenamed("doc_id", "value").join(known, "value").selectExpr("value", "token as new_value")
+        texts = texts.join(known.selectExpr("value as doc_id"), "doc_id", "left_anti")
+    new = anonymize(texts, registry, case_id).selectExpr("doc_id as value", "text as new_value")
+    new = new.where("new_value <> value")
+    return put_back(table, columns, stage(new.unionByName(whole) if whole_first else new, "new-cells"))
 
 
 def restore_table(

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import email_local, in_list, name_parts
-from ..plans import lookup_join, sequence_table, stage, with_dense_number
+from ..plans import HOT_ROWS, lookup_join, stage, with_group_number
 
+_MAX_USUAL_ASKS = 8  # keys per value in a usual case; only decides whether exact counts are worth a job
 _USER_TYPES = ["username", "filepath_user"]
 _NAME_TYPES = ["firstname", "lastname"]
 
@@ -62,9 +63,12 @@ def parent_candidates(values: DataFrame, known: DataFrame) -> DataFrame:
     )
     asks = asks.selectExpr("mapping_id", "rule", "place", "concat(`table`, ':', k) as k")
     lookups = lookups.selectExpr("concat(`table`, ':', k) as k", "parent")
-    asks = stage(asks, "link-asks")
+    n_rows = values.count() * _MAX_USUAL_ASKS  # values are staged, the count comes from file metadata
+    if n_rows > HOT_ROWS:
+        asks = stage(asks, "link-asks")
+        n_rows = asks.count()
     return (
-        lookup_join(asks, lookups, "k", asks.count())
+        lookup_join(asks, lookups, "k", n_rows)
         .where("parent < mapping_id")
         .select("mapping_id", "rule", "place", "parent")
     )
@@ -97,22 +101,27 @@ def forest_roots(parents: DataFrame, stage_every: int = 3) -> DataFrame:
     return links
 
 
-def new_person_ids(values: DataFrame, known: DataFrame) -> DataFrame:
-    """Entity per value from its ``root_id``: the entity of a known root, or the next free person.
+def new_person_ids(values: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """``values`` with the entity of their root: that of a known root, or the next free person.
 
-    New persons are numbered in the order of their first value, after the highest known number.
+    ``values`` carry their place in the order (``part``, ``loc``), so new persons are numbered in the
+    order of their first value without another sort.
     """
+    n_rows = values.count()
     known_roots = known.selectExpr("mapping_id as root_id", "entity_id as _known")
-    rooted = stage(values.join(known_roots, "root_id", "left"), "rooted")
-    roots = rooted.where("root_id = mapping_id").select("mapping_id")
-    seq = with_dense_number(sequence_table(roots, ["mapping_id"], "roots"), "_n")
+    rooted = values.join(roots, "mapping_id", "left").withColumn("root_id", F.coalesce("root_id", "mapping_id"))
+    rooted = rooted.join(known_roots, "root_id", "left")
     last = known.agg(
-        F.coalesce(F.max(F.expr("cast(regexp_extract(entity_id, '^PERSON([0-9]+)$', 1) as bigint)")), F.lit(0)).alias("_last")
+        F.coalesce(
+            F.max(F.expr("cast(regexp_extract(entity_id, '^PERSON([0-9]+)$', 1) as bigint)")), F.lit(0)
+        ).alias("_last")
     )
-    persons = seq.join(F.broadcast(last)).selectExpr(
-        "mapping_id as root_id", "format_string('PERSON%03d', _n + _last) as _fresh"
+    heads = rooted.where("root_id = mapping_id").selectExpr("mapping_id", "part", "loc", "true as is_root")
+    persons = (
+        with_group_number(heads, "is_root", "_n")
+        .join(F.broadcast(last))
+        .selectExpr("mapping_id as root_id", "format_string('PERSON%03d', _n + _last) as _fresh")
     )
-    n_rows = rooted.count()
     return (
         lookup_join(rooted, persons, "root_id", n_rows)
         .withColumn("entity_id", F.coalesce("_known", "_fresh"))
@@ -123,9 +132,7 @@ def new_person_ids(values: DataFrame, known: DataFrame) -> DataFrame:
 def link_entities(values: DataFrame, known: DataFrame) -> DataFrame:
     """``values`` with ``entity_id``."""
     parents = choose_parent(parent_candidates(values, known))
-    roots = forest_roots(parents)
-    rooted = values.join(roots, "mapping_id", "left").withColumn("root_id", F.coalesce("root_id", "mapping_id"))
-    return new_person_ids(rooted, known)
+    return new_person_ids(values, forest_roots(parents), known)
 
 
 def merge_entities(registry: DataFrame, entities: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..fixed import TOKEN_PREFIXES, UNKNOWN_PREFIX
 from ..functions.text import case_variant, q
 from ..plans import sequence_table, stage, with_dense_number, with_group_number
-from .entities import link_entities, new_person_ids
+from .entities import link_entities
 
 REGISTRY_SCHEMA = (
     "case_id string, mapping_id bigint, entity_id string, pii_type string, raw_value string, "
@@ -67,7 +67,8 @@ def next_numbers(registry: DataFrame) -> DataFrame:
 def number_tokens(values: DataFrame, registry: DataFrame, case_id: str, name: str = "values") -> DataFrame:
     """Number new values per prefix in first-appearance order, after the stored maximum.
 
-    ``username`` and ``filepath_user`` share a prefix and therefore one counter.
+    ``username`` and ``filepath_user`` share a prefix and therefore one counter. ``part`` and ``loc`` are
+    the place in the order, for further numbering.
     """
     seq = sequence_table(
         values.withColumn("prefix", F.expr(token_prefix())), ["ord", "start", "raw_value"], name
@@ -82,7 +83,7 @@ def number_tokens(values: DataFrame, registry: DataFrame, case_id: str, name: st
         .withColumn("num", F.col("num") + F.coalesce("_taken", F.lit(0)))
         .withColumn("mapping_id", F.col("seq") + F.col("_last"))
         .withColumn("token", F.expr(token_text()))
-        .drop("_taken", "_last", "seq", "prefix", "part", "loc")
+        .drop("_taken", "_last", "seq", "prefix")
     )
 
 
@@ -90,18 +91,12 @@ def register(
     spans: DataFrame,
     registry: DataFrame,
     case_id: str,
-    *,
-    link: bool = True,
 ) -> DataFrame:
     """New registry rows for the values in ``spans`` that the case does not hold yet (staged)."""
     known = registry.where(F.col("case_id") == case_id)
     fresh = first_appearances(spans).join(known.select("raw_value"), "raw_value", "left_anti")
     values = stage(number_tokens(fresh, registry, case_id), "new-values")
-    if link:
-        linked = link_entities(values, known)
-    else:
-        linked = new_person_ids(values.withColumn("root_id", F.col("mapping_id")), known)
-    rows = linked.selectExpr(
+    rows = link_entities(values, known).selectExpr(
         f"{q(case_id)} as case_id", "mapping_id", "entity_id", "pii_type", "raw_value", "token", "num", "source_doc"
     )
     return stage(rows, "registered")

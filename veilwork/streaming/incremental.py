@@ -15,6 +15,7 @@ from ..functions.text import q
 from ..operators.detect import detect
 from ..operators.registry import LEDGER_SCHEMA, REGISTRY_SCHEMA, register
 from ..operators.rewrite import anonymize, deanonymize
+from ..plans.staging import stage
 
 DOC_SCHEMA = "doc_id string, ord bigint, path string, text string"
 
@@ -46,7 +47,7 @@ def anonymize_stream(docs: DataFrame, state_dir: str, out: str, case_id: str) ->
         registry = read_state(spark, f"{state_dir}/registry", REGISTRY_SCHEMA, batch_id)
         ledger = read_state(spark, f"{state_dir}/ledger", LEDGER_SCHEMA, batch_id)
         done = ledger.where((F.col("case_id") == case_id) & (F.col("direction") == "anonymize")).select("path")
-        fresh = batch.dropDuplicates(["path"]).join(done, "path", "left_anti")
+        fresh = stage(batch.dropDuplicates(["path"]).join(done, "path", "left_anti"), "arrived")
         spans = detect(fresh, protect=True).drop("left_ctx", "right_ctx")
         new = register(spans, registry, case_id)
         _write_batch(new, f"{state_dir}/registry", batch_id)
