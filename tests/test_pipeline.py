@@ -1,0 +1,178 @@
+"""Registration, rewriting, restoring, state, columns and streams."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilwork.operators import allowlist as A
+from veilwork.operators.audit import inconsistent_mappings, leaks, round_trip_differences
+from veilwork.operators.columns import anonymize_table, restore_table, target_columns, template_columns, templates
+from veilwork.operators.detect import detect
+from veilwork.operators.registry import empty_case, number_tokens, open_at_rest, protect_at_rest, register
+from veilwork.operators.rewrite import anonymize, anonymize_corpus, deanonymize
+from veilwork.plans import lookup, sequence_table, with_dense_number, with_group_number
+from veilwork.streaming.incremental import anonymize_stream
+
+TEXTS = [
+    "Accepted for john.doe from 10.0.0.5, mail john.doe@example.org",
+    "password=Hunter22! later Hunter22! and John.doe; call +32 471 98 76 54 now",
+    "mail John.Doe@other.example.org and jane@example.org, (JANE@example.org)",
+    "the server at 192.168.1.1 is up",
+]
+
+
+def spans_of(docs):
+    return detect(docs, protect=True).drop("left_ctx", "right_ctx")
+
+
+@pytest.fixture(scope="module")
+def run(spark, corpus):
+    docs = corpus(TEXTS, 3)
+    out, registry = anonymize_corpus(docs, spans_of(docs), empty_case(spark)["registry"], "c")
+    return docs, out, registry
+
+
+def test_registry(run):
+    rows = run[2].orderBy("mapping_id").collect()
+    assert [r.mapping_id for r in rows] == list(range(1, len(rows) + 1))
+    tokens = {r.raw_value: r.token for r in rows}
+    assert tokens["john.doe"] == "ANONUSER001"
+    assert tokens["john.doe@example.org"] == "ANONEMAIL001"
+    assert tokens["John.Doe@other.example.org"] == "ANONEMAIL002"
+    person = {r.raw_value: r.entity_id for r in rows}
+    assert person["john.doe"] == person["john.doe@example.org"] == person["John.Doe@other.example.org"] == "PERSON001"
+    assert person["jane@example.org"] == person["JANE@example.org"]
+
+
+def test_rewrite_and_restore(run):
+    docs, out, registry = run
+    text = {r.doc_id: r.text for r in out.collect()}
+    assert text[1] == "password=ANONPASS001 later ANONPASS001 and ANONUSER001; call ANONPHONE001 now"
+    assert text[3] == TEXTS[3]
+    back = deanonymize(out, registry, "c")
+    # a second spelling of a value comes back in the form that holds it
+    assert sorted(r.doc_id for r in round_trip_differences(docs, back).collect()) == [1, 2]
+    restored = {r.doc_id: r.text for r in back.collect()}
+    assert restored[0] == TEXTS[0]
+    assert restored[2] == TEXTS[2].replace("jane@", "JANE@")
+    assert restored[1] == TEXTS[1].replace("John.doe", "john.doe")
+    assert leaks(out, registry, "c").count() == 0
+    assert inconsistent_mappings(registry).count() == 0
+
+
+def test_same_result_for_any_partitioning(spark, corpus, run):
+    docs = corpus(TEXTS, 1)
+    one = register(spans_of(docs), empty_case(spark)["registry"], "c")
+    cols = ["mapping_id", "raw_value", "token", "entity_id"]
+    assert sorted(map(tuple, one.select(cols).collect())) == sorted(map(tuple, run[2].select(cols).collect()))
+
+
+def test_incremental_keeps_tokens(spark, corpus, run):
+    docs = corpus(TEXTS)
+    first = register(spans_of(docs.where("doc_id < 2")), empty_case(spark)["registry"], "c")
+    second = first.unionByName(register(spans_of(docs), first, "c"))
+    cols = ["raw_value", "token", "entity_id"]
+    assert sorted(map(tuple, second.select(cols).collect())) == sorted(map(tuple, run[2].select(cols).collect()))
+
+
+def test_cases_are_separate(spark, corpus, run):
+    docs = corpus(["only bob@example.org"])
+    other = register(spans_of(docs), run[2], "d").collect()
+    assert [(r.case_id, r.token, r.entity_id) for r in other] == [("d", "ANONEMAIL001", "PERSON001")]
+
+
+def test_restore_by_type(spark, corpus, run):
+    docs = corpus(["ANONUSER001 ANONEMAIL001 xANONUSER001 ANONUSER999 (ANONEMAIL001)"])
+    only = deanonymize(docs, run[2], "c", ["email"]).first().text
+    assert only == "ANONUSER001 john.doe@example.org xANONUSER001 ANONUSER999 (john.doe@example.org)"
+    assert deanonymize(docs, run[2], "c", []).first().text == docs.first().text
+
+
+def test_numbering_over_many_partitions(spark):
+    df = spark.range(5000).withColumn("g", F.expr("if(id % 3 = 0, 'hot', cast(id % 7 as string))")).repartition(13)
+    seq = sequence_table(df, ["id"], "seq")
+    rows = with_group_number(with_dense_number(seq, "n"), "g", "gn").orderBy("id").collect()
+    seen = {}
+    for i, r in enumerate(rows):
+        seen[r.g] = seen.get(r.g, 0) + 1
+        assert (r.n, r.gn) == (i + 1, seen[r.g])
+
+
+def test_tokens_past_three_digits(spark):
+    values = spark.range(1200).selectExpr(
+        "concat('v', id) as raw_value", "id as ord", "0 as start", "'email' as pii_type", "'' as source_doc"
+    )
+    rows = number_tokens(values, empty_case(spark)["registry"], "c").orderBy("num").collect()
+    assert (rows[0].token, rows[-1].token) == ("ANONEMAIL001", "ANONEMAIL1200")
+
+
+def test_hot_keys_join_like_plain(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_ROWS", 50)
+    rows = spark.range(600).selectExpr("id", "if(id % 3 = 0, 'hot', if(id % 50 = 1, null, cast(id % 40 as string))) as k")
+    table = spark.createDataFrame([("hot", 1), ("5", 2)], "k string, v int")
+    got = lookup.lookup_join(rows, table, "k", 600).select("id", "k", "v").collect()
+    plain = rows.join(table, "k", "left").select("id", "k", "v").collect()
+    assert sorted(map(str, got)) == sorted(map(str, plain)) and len(got) == 600
+
+
+def test_allowlist(spark, corpus):
+    docs = corpus(["for a.b from x@staff.example.org y@sub.staff.example.org on LAPTOP-anna host"])
+    listed = spark.createDataFrame(
+        [("c", "A.B", "username", ""), ("c", "Staff.example.org", "domain", ""), ("other", "LAPTOP-anna", "ioc", "")],
+        "case_id string, value string, value_type string, reason string",
+    )
+    kept = A.drop_allowed(spans_of(docs), listed, "c").collect()
+    assert sorted(r.raw_value for r in kept) == ["LAPTOP-anna", "y@sub.staff.example.org"]
+
+
+def test_columns(spark):
+    assert target_columns(["Name", "email", "IP"], ["EMAIL", "none"], ["email"]) == ["email"]
+    assert target_columns(["Name", "email", "IP"], None, ["ip"]) == ["Name", "email"]
+    assert template_columns("crypto-kyc", ["x"])[0] == ["x"]
+    assert templates(spark).count() == 7
+    with pytest.raises(ValueError):
+        template_columns("none such")
+    table = spark.createDataFrame(
+        [
+            (1, "t1", "tom@example.org", "Tom V", "LAPTOP-TOM", "10.0.0.1"),
+            (2, "t2", "tom@example.org", "Lisa M", " ", "10.0.0.2"),
+            (3, "t3", "see lisa@example.org!", "x", "unknown", "tom@example.org"),
+        ],
+        "id int, Timestamp string, UserPrincipalName string, DisplayName string, DeviceName string, IPAddress string",
+    )
+    out, registry = anonymize_table(table, "id", empty_case(spark)["registry"], "c", template="microsoft-signin")
+    rows = [tuple(r) for r in out.orderBy("id").collect()]
+    assert rows == [
+        (1, "t1", "ANONEMAIL001", "ANONNAME001", "ANONHOST001", "10.0.0.1"),
+        (2, "t2", "ANONEMAIL001", "ANONNAME002", " ", "10.0.0.2"),
+        (3, "t3", "see ANONEMAIL002!", "x", "ANONNAME003", "tom@example.org"),
+    ]
+    back = restore_table(out, "id", registry, "c", ["UserPrincipalName", "DisplayName", "DeviceName"])
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_values_at_rest(spark, run):
+    key = spark.createDataFrame([(b"0" * 16, "s")], "key binary, salt string")
+    wrong = spark.createDataFrame([(b"1" * 16, "s")], "key binary, salt string")
+    closed = protect_at_rest(run[2], key)
+    assert "raw_value" not in closed.columns
+    opened = {r.raw_value for r in open_at_rest(closed, key).collect()}
+    assert opened == {r.raw_value for r in run[2].collect()}
+    assert all(r.raw_value is None for r in open_at_rest(closed, wrong).collect())
+
+
+def test_stream(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = "doc_id string, ord bigint, path string, text string"
+    docs = spark.createDataFrame([(str(i), i, f"p{i}", t) for i, t in enumerate(TEXTS)], schema)
+    writer = lambda: anonymize_stream(
+        spark.readStream.schema(schema).parquet(source), str(tmp_path / "state"), str(tmp_path / "out"), "c"
+    ).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    docs.where("ord < 2").coalesce(1).write.parquet(source)
+    writer()
+    docs.where("ord >= 1").coalesce(1).write.mode("append").parquet(source)  # p1 comes again
+    writer()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.doc_id for r in rows) == ["0", "1", "2", "3"]
+    text = {r.doc_id: r.text for r in rows}
+    assert text["0"] == "Accepted for ANONUSER001 from 10.0.0.5, mail ANONEMAIL001"
+    assert text["2"] == "mail ANONEMAIL002 and ANONEMAIL004, (ANONEMAIL004)"
