@@ -41,8 +41,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An evidence view over the tables."""
     for base in ("customer", "orders", "nation", "supplier", "benchmark", "documents"):
-        table(spark, sf_dir, base).createOrReplaceTempView(base)
-    return spread(spark.sql(with_views(f"select * from {name}")))
+        spread(table(spark, sf_dir, base)).createOrReplaceTempView(base)
+    return spark.sql(with_views(f"select * from {name}"))
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

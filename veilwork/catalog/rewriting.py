@@ -285,8 +285,8 @@ def leak_audit_words(spark, sf):
 def round_trip_audit(spark, sf):
     docs, registry = documents(spark, sf), doc_registry(spark, sf)
     back = deanonymize(anonymize(docs, registry, CASE), registry, CASE)
-    changed = audit.round_trip_differences(docs, back).agg(F.count("*").alias("n_changed"))
-    return docs.agg(F.count("*").alias("n_docs")).join(changed)
+    changed = audit.round_trip_differences(docs, back).agg(F.count("*")).scalar()
+    return docs.agg(F.count("*").alias("n_docs"), changed.alias("n_changed"))
 
 
 @query("consistency_audit", """

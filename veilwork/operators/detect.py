@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.text import digit_count, iban_valid, in_list, q, shannon_entropy
 from ..rules import DECLARED_TYPE, DETECTORS, PROTECTED_RULES, RULES, Rule
-from .spans import keep_by_island, resolve_overlaps, span_array, with_mark
+from .spans import BEST_FIRST, keep_by_island, span_array, with_islands, with_mark
 
 PROTECTED_ID = 1000
 
@@ -96,37 +96,32 @@ def _per_rule(rules: list[Rule], values: list) -> str:
     return f"get(array({items}), rule)"
 
 
-def candidate_spans(
-    docs: DataFrame,
-    rules: list[Rule],
-    *,
-    protect: bool = False,
-    min_entropy: float = 3.5,
-    compat: bool = False,
+def _matches(
+    docs: DataFrame, rules: list[Rule], protect: bool, min_entropy: float, compat: bool, tech_everywhere: bool = False
 ) -> DataFrame:
-    """Valid matches of all rules in one pass over the text, before overlap resolution.
+    """Valid matches of all rules in one pass over the text.
 
-    With ``protect`` the column ``covered`` tells whether a span is a protected technical pattern or
-    lies inside one.
+    With ``protect`` there are also rows for technical patterns (``rule_ord`` from ``PROTECTED_ID``).
+    They only matter in texts that hold a candidate, so other texts give none unless ``tech_everywhere``.
     """
     arrays = span_array(rules)
     if protect:
-        # technical spans only matter in texts that hold a candidate at all
         tech = span_array(PROTECTED_RULES, first_id=PROTECTED_ID, context=False)
-        arrays = f"get(transform(array({arrays}), pii -> if(size(pii) = 0, pii, concat(pii, {tech}))), 0)"
+        if tech_everywhere:
+            arrays = f"concat({arrays}, {tech})"
+        else:
+            arrays = f"get(transform(array({arrays}), pii -> if(size(pii) = 0, pii, concat(pii, {tech}))), 0)"
     marked = with_mark(docs, ["doc_id", "ord"])
     spans = marked.selectExpr("doc_id", "ord", f"inline({arrays})")
     trimmed = _trimmed(rules, compat)
     spans = spans.selectExpr(
         "doc_id", "ord", "rule", *(f"{sql} as {c}" for c, sql in trimmed.items())
     ).where(f"rule >= {PROTECTED_ID} or ({_valid(rules, min_entropy)})")
-    if protect:
-        spans = with_cover(spans)
     confidence = _per_rule(rules, [r.confidence for r in rules])
     keys = _ids(rules, "apikey")
     if keys:
         confidence = f"if({in_list('rule', keys)} and left_ctx rlike {q(fixed.KEY_CONTEXT)}, 0.95D, {confidence})"
-    spans = spans.selectExpr(
+    return spans.selectExpr(
         "doc_id",
         "ord",
         "start",
@@ -138,56 +133,60 @@ def candidate_spans(
         "rule as rule_ord",
         "left_ctx",
         "right_ctx",
-        *(["covered"] if protect else []),
     )
+
+
+def candidate_spans(
+    docs: DataFrame, rules: list[Rule], *, min_entropy: float = 3.5, compat: bool = False
+) -> DataFrame:
+    """Valid matches of the given rules, before the detectors are weighed against each other."""
+    spans = _matches(docs, rules, False, min_entropy, compat)
     if len(_ids(rules, "phone")) > 1:
-        spans = settle_phones(spans)
+        phone = f"det_ord = {DETECTORS.index('phone')}"
+        flagged = spans.withColumn("_phone", F.expr(phone))
+        spans = keep_by_island(with_islands(flagged, ["doc_id", "_phone"]), ["doc_id", "_phone"], _PHONES_IN_ORDER)
+        spans = spans.drop("_phone")
     if compat and _ids(rules, "social"):
         spans = hide_seen_handles(spans, rules)
     return spans
 
 
+# phone families in order: a match is skipped when its start or end lies in an accepted one
+_PHONE = DETECTORS.index("phone")
+_PHONES_IN_ORDER = (
+    ["s.rule_ord", "s.start"],
+    f"s.det_ord = {_PHONE} and a.det_ord = {_PHONE} and ((a.start <= s.start and s.start < a.end) "
+    "or (a.start < s.end and s.end <= a.end))",
+)
+
+
 def with_cover(spans: DataFrame) -> DataFrame:
     """Mark spans inside a technical span: one running maximum per document instead of a range join.
 
     A span is inside some technical span exactly if the farthest end among technical spans that start
     no later reaches its own end. A value that is a technical pattern as a whole is covered too, if that
-    pattern occurs in the document.
+    pattern occurs in the document. Window frames by value take spans with an equal start together.
     """
-    is_tech = f"rule >= {PROTECTED_ID}"
+    is_tech = f"rule_ord >= {PROTECTED_ID}"
     doc = Window.partitionBy("doc_id")
-    order = doc.orderBy("start", F.expr(f"if({is_tech}, 0, 1)")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    upto = doc.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     whole = " or ".join(
         f"(kinds & {1 << i} <> 0 and raw_value rlike {q(rf'(?{r.flags})^(?:{r.value})$')})"
         for i, r in enumerate(PROTECTED_RULES)
     )
+    everywhere = doc.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         spans.withColumns(
             {
-                "_reach": F.max(F.expr(f"if({is_tech}, end, null)")).over(order),
-                "kinds": F.bit_or(F.expr(f"if({is_tech}, shiftleft(1, rule - {PROTECTED_ID}), 0)")).over(doc),
+                "_reach": F.max(F.expr(f"if({is_tech}, end, null)")).over(upto),
+                "kinds": F.bit_or(F.expr(f"if({is_tech}, shiftleft(1, rule_ord - {PROTECTED_ID}), 0)")).over(everywhere),
             }
         )
-        .where(f"not ({is_tech})")
-        .withColumn("covered", F.expr(f"coalesce(_reach >= end, false) or {whole}"))
+        .withColumn("covered", F.expr(f"not ({is_tech}) and (coalesce(_reach >= end, false) or {whole})"))
         .drop("_reach", "kinds")
     )
 
 
-def settle_phones(spans: DataFrame) -> DataFrame:
-    """Phone families in order: a match is skipped when its start or end lies in an accepted one."""
-    phone = DETECTORS.index("phone")
-    return keep_by_island(
-        spans.withColumn("_phone", F.col("det_ord") == phone),
-        ["doc_id", "_phone"],
-        ["s.rule_ord", "s.start"],
-        f"s.det_ord = {phone} and a.det_ord = {phone} and ((a.start <= s.start and s.start < a.end) "
-        "or (a.start < s.end and s.end <= a.end))",
-    ).drop("_phone")
-
-
 def hide_seen_handles(spans: DataFrame, rules: list[Rule]) -> DataFrame:
     """Compat: only ``@`` handles repeat; any other handle shows once and not if seen before."""
     social = f"det_ord = {DETECTORS.index('social')}"
@@ -219,7 +218,11 @@ def detect(
     With ``protect`` the spans under built-in protection are dropped after overlaps are settled.
     """
     rules = pick_rules(detectors, include, exclude, compat)
-    spans = candidate_spans(docs, rules, protect=protect, min_entropy=min_entropy, compat=compat) if rules else None
+    spans = None
+    if rules:
+        spans = _matches(docs, rules, protect, min_entropy, compat, tech_everywhere=extra_spans is not None)
+        if compat and _ids(rules, "social"):
+            spans = hide_seen_handles(spans, rules)
     if extra_spans is not None:
         wanted = extra_spans
         if include:
@@ -229,7 +232,9 @@ def detect(
         spans = wanted if spans is None else spans.unionByName(wanted, allowMissingColumns=True)
     if spans is None:
         raise ValueError("the type filter leaves no detector")
-    kept = resolve_overlaps(spans)
-    if protect:
-        kept = kept.where("not coalesce(covered, false)").drop("covered")
-    return kept
+    # one shuffle and one sort by document serve the cover, the islands and the choice
+    covered = with_cover(spans) if protect else spans
+    islands = with_islands(covered, ["doc_id"], f"rule_ord < {PROTECTED_ID}")
+    rounds = [_PHONES_IN_ORDER] if len(_ids(rules, "phone")) > 1 else []
+    kept = keep_by_island(islands, ["doc_id"], *rounds, BEST_FIRST)
+    return kept.where("not covered").drop("covered") if protect else kept

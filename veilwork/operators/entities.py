@@ -113,14 +113,14 @@ def new_person_ids(values: DataFrame, roots: DataFrame, known: DataFrame) -> Dat
     rooted = rooted.join(known_roots, "root_id", "left")
     last = known.agg(
         F.coalesce(
-            F.max(F.expr("cast(regexp_extract(entity_id, '^PERSON([0-9]+)$', 1) as bigint)")), F.lit(0)
-        ).alias("_last")
-    )
+            F.max(F.expr("try_cast(regexp_extract(entity_id, '^PERSON([0-9]+)$', 1) as bigint)")), F.lit(0)
+        )
+    ).scalar()
     heads = rooted.where("root_id = mapping_id").selectExpr("mapping_id", "part", "loc", "true as is_root")
     persons = (
         with_group_number(heads, "is_root", "_n")
-        .join(F.broadcast(last))
-        .selectExpr("mapping_id as root_id", "format_string('PERSON%03d', _n + _last) as _fresh")
+        .withColumn("_n", F.col("_n") + last)
+        .selectExpr("mapping_id as root_id", "format_string('PERSON%03d', _n) as _fresh")
     )
     return (
         lookup_join(rooted, persons, "root_id", n_rows)

@@ -74,16 +74,15 @@ def number_tokens(values: DataFrame, registry: DataFrame, case_id: str, name: st
         values.withColumn("prefix", F.expr(token_prefix())), ["ord", "start", "raw_value"], name
     )
     known = registry.where(F.col("case_id") == case_id)
-    last = known.agg(F.coalesce(F.max("mapping_id"), F.lit(0)).alias("_last"))
+    last = known.agg(F.coalesce(F.max("mapping_id"), F.lit(0))).scalar()
     taken = next_numbers(known).select("prefix", (F.col("next_num") - 1).alias("_taken"))
     numbered = with_group_number(with_dense_number(seq, "seq"), "prefix", "num")
     return (
         numbered.join(F.broadcast(taken), "prefix", "left")
-        .join(F.broadcast(last))
         .withColumn("num", F.col("num") + F.coalesce("_taken", F.lit(0)))
-        .withColumn("mapping_id", F.col("seq") + F.col("_last"))
+        .withColumn("mapping_id", F.col("seq") + last)
         .withColumn("token", F.expr(token_text()))
-        .drop("_taken", "_last", "seq", "prefix")
+        .drop("_taken", "seq", "prefix")
     )
 
 
@@ -138,23 +137,21 @@ def by_types(registry: DataFrame, case_id: str, pii_types: list[str]) -> DataFra
     return registry.where((F.col("case_id") == case_id) & F.col("pii_type").isin(pii_types))
 
 
-def protect_at_rest(registry: DataFrame, key: DataFrame, salt_column: str = "salt") -> DataFrame:
+def protect_at_rest(registry: DataFrame, key: DataFrame) -> DataFrame:
     """Encrypt raw values; ``value_hash`` (salted) stays usable as a join key.
 
     ``key`` is a one-row table ``(key binary, salt string)``, so the key is data and not plan text.
     """
+    secret, salt = key.select("key").scalar(), key.select("salt").scalar()
     return (
-        registry.join(F.broadcast(key))
-        .withColumn("raw_cipher", F.expr("base64(aes_encrypt(raw_value, key))"))
-        .withColumn("value_hash", F.expr(f"sha2(concat(raw_value, {salt_column}), 256)"))
-        .drop("raw_value", "key", salt_column)
+        registry.withColumn("raw_cipher", F.base64(F.aes_encrypt("raw_value", secret)))
+        .withColumn("value_hash", F.sha2(F.concat("raw_value", salt), 256))
+        .drop("raw_value")
     )
 
 
 def open_at_rest(protected: DataFrame, key: DataFrame) -> DataFrame:
     """Decrypt; a wrong key gives null values, not an error."""
-    return (
-        protected.join(F.broadcast(key.select("key")))
-        .withColumn("raw_value", F.expr("cast(try_aes_decrypt(unbase64(raw_cipher), key) as string)"))
-        .drop("raw_cipher", "value_hash", "key")
-    )
+    secret = key.select("key").scalar()
+    opened = F.try_aes_decrypt(F.unbase64("raw_cipher"), secret).cast("string")
+    return protected.withColumn("raw_value", opened).drop("raw_cipher", "value_hash")

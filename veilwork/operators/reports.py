@@ -31,11 +31,11 @@ def mappings_by_type(registry: DataFrame, case_id: str) -> DataFrame:
 def case_status(registry: DataFrame, ledger: DataFrame, allowlist: DataFrame, case_id: str) -> DataFrame:
     """One row: mappings, entities, processed files, allowlist entries."""
     mine = F.col("case_id") == case_id
-    return (
-        registry.where(mine)
-        .agg(F.count("*").alias("total_mappings"), F.countDistinct("entity_id").alias("total_entities"))
-        .join(ledger.where(mine).agg(F.count("*").alias("processed_files")))
-        .join(allowlist.where(mine).agg(F.count("*").alias("allowlist_entries")))
+    return registry.where(mine).agg(
+        F.count("*").alias("total_mappings"),
+        F.countDistinct("entity_id").alias("total_entities"),
+        ledger.where(mine).agg(F.count("*")).scalar().alias("processed_files"),
+        allowlist.where(mine).agg(F.count("*")).scalar().alias("allowlist_entries"),
     )
 
 

@@ -27,7 +27,7 @@ def _parts_if_found(rule: Rule, text: str, mark: str) -> str:
     ``_long`` are columns of the text row.
     """
     checks = [" or ".join(f"contains({text}, {q(s)})" for s in group) for group in rule.needs]
-    checks += [" or ".join(f"contains(_low, {q(s)})" for s in group) for group in rule.low_needs]
+    checks += [" or ".join(f"contains(_low, {q(s)})" for s in group) for group in rule.low_needs if "" not in group]
     if rule.long_run:
         checks.append("_long")
     new = f"concat({mark}, '$0', {mark})" if rule.plain else f"concat('$1', {mark}, '$2', {mark}, '$3')"
@@ -80,42 +80,54 @@ def span_rows(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     return marked.selectExpr(*keep, f"inline({span_array(rules)})")
 
 
-def with_islands(spans: DataFrame, by: list[str]) -> DataFrame:
-    """Number clusters of overlapping spans inside each ``by`` group."""
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+def with_islands(spans: DataFrame, by: list[str], pii: str = "true") -> DataFrame:
+    """Number clusters of overlapping spans inside each ``by`` group; rows that are not ``pii`` are left out."""
+    order = Window.partitionBy(*by).orderBy("start")
+    reach = F.max(F.expr(f"if({pii}, end, null)")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return (
         spans.select("*", reach.alias("_reach"))
-        .select("*", F.sum(F.expr("if(_reach is null or start >= _reach, 1, 0)")).over(order).alias("_island"))
+        .where(pii)
+        .select("*", F.sum(F.expr("if(_reach is null or start >= _reach, 1, 0)")).over(
+            order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_island"))
         .drop("_reach")
     )
 
 
-def keep_by_island(spans: DataFrame, by: list[str], priority: list[str], clash: str) -> DataFrame:
-    """Accept spans greedily by ``priority`` unless they ``clash`` with an accepted one.
-
-    ``priority`` and ``clash`` are SQL on ``s`` (the span) and ``a`` (an accepted span). Only overlapping
-    spans can clash, so the greedy choice runs inside one island at a time.
-    """
-    cols = [c for c in spans.columns if c not in by]
-    grouped = (
-        with_islands(spans, by).groupBy(*by, "_island").agg(F.collect_list(F.struct(*cols)).alias("_c"))
-    )
+def _greedy(spans: str, priority: list[str], clash: str) -> str:
+    """SQL: the spans of an array accepted by ``priority`` unless they ``clash`` with an accepted one."""
     key = ", ".join(f"'k{i}', {p}" for i, p in enumerate(priority))
-    ranked = f"transform(array_sort(transform(_c, s -> named_struct('k', named_struct({key}), 's', s))), x -> x.s)"
-    greedy = (
+    ranked = (
+        f"transform(array_sort(transform({spans}, s -> named_struct('k', named_struct({key}), 's', s))), x -> x.s)"
+    )
+    fold = (
         "aggregate(r, filter(r, s -> false), "
         f"(acc, s) -> if(exists(acc, a -> {clash}), acc, concat(acc, array(s))))"
     )
-    chosen = f"if(size(_c) = 1, _c, get(transform(array({ranked}), r -> {greedy}), 0))"
-    return grouped.selectExpr(*by, f"inline({chosen})").select(*spans.columns)
+    return f"get(transform(array({ranked}), r -> {fold}), 0)"
+
+
+def keep_by_island(spans: DataFrame, by: list[str], *rounds: tuple[list[str], str]) -> DataFrame:
+    """Accept spans greedily, one round after the other; ``spans`` carry ``_island``.
+
+    A round is ``(priority, clash)``, SQL on ``s`` (the span) and ``a`` (an accepted span). Only
+    overlapping spans can clash, so the greedy choice runs inside one island at a time.
+    """
+    cols = [c for c in spans.columns if c not in by and c != "_island"]
+    grouped = spans.groupBy(*by, "_island").agg(F.collect_list(F.struct(*cols)).alias("_c"))
+    chosen = "_c"
+    for priority, clash in rounds:
+        chosen = _greedy(chosen, priority, clash)
+    return grouped.selectExpr(*by, f"inline(if(size(_c) = 1, _c, {chosen}))").select(
+        *[c for c in spans.columns if c != "_island"]
+    )
+
+
+BEST_FIRST = (
+    ["s.start - s.end", "-s.confidence", "s.start", "s.det_ord", "s.rule_ord"],
+    "a.start < s.end and s.start < a.end",
+)
 
 
 def resolve_overlaps(spans: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """Longer first, then higher confidence, earlier start and detector order; no shared character."""
-    return keep_by_island(
-        spans,
-        [doc_key],
-        ["s.start - s.end", "-s.confidence", "s.start", "s.det_ord", "s.rule_ord"],
-        "a.start < s.end and s.start < a.end",
-    )
+    return keep_by_island(with_islands(spans, [doc_key]), [doc_key], BEST_FIRST)

@@ -168,7 +168,7 @@ def _username() -> list[Rule]:
 
 
 def _social() -> list[Rule]:
-    opening = r"(?:^|(?<=[\s,;:(\[{\"']))"
+    opening = r"(?=[@u])(?:^|(?<=[\s,;:(\[{\"']))"
     rules = [
         Rule("social", "at_handle", "social_handle", 0.88, r"@[A-Za-z][A-Za-z0-9._]{0,29}",
              opening, r"(?![A-Za-z0-9@])", flags="Udm", needs=(("@",),)),
@@ -188,7 +188,7 @@ def _social() -> list[Rule]:
     )
     rules.append(
         Rule("social", "field", "social_handle", 0.85, r"[A-Za-z][A-Za-z0-9._-]{1,30}",
-             rf"(?:{keys})[\"']?\s*[:=]\s*[\"']?", flags="iUd", needs=((":", "="),),
+             rf"(?=[stidryfu])(?:{keys})[\"']?\s*[:=]\s*[\"']?", flags="iUd", needs=((":", "="),),
              low_needs=(("screen", "snap", "twitter", "instagram", "tiktok", "telegram", "discord", "reddit",
                          "youtube", "facebook", "fb", "handle"), ("user", "handle", "name")))
     )
@@ -200,14 +200,15 @@ def _social() -> list[Rule]:
 
 def _fieldlabel() -> list[Rule]:
     groups = [
-        ("name", 0.92, NAME_LABELS, ("name", "naam")),
+        ("name", 0.92, NAME_LABELS, ("name", "naam"), ("",)),
         ("username", 0.90, USERNAME_LABELS,
-         ("user", "login", "screen", "nick", "account", "member", "caller", "sender", "author", "creator", "naam")),
-        ("address", 0.88, ADDRESS_LABELS, ("address", "residence", "domicile", "adres", "verblijfplaats")),
-        ("phone", 0.88, CONTACT_LABELS, ("phone", "mobi", "contact", "gsm", "tel")),
+         ("user", "login", "screen", "nick", "account", "member", "caller", "sender", "author", "creator", "naam"),
+         ("name", "naam", "id")),
+        ("address", 0.88, ADDRESS_LABELS, ("address", "residence", "domicile", "adres", "verblijfplaats"), ("",)),
+        ("phone", 0.88, CONTACT_LABELS, ("number", "telephone", "cell", "gsm", "telefoon", "mobiel"), ("",)),
     ]
     rules = []
-    for pii_type, confidence, labels, stems in groups:
+    for pii_type, confidence, labels, stems, tails in groups:
         first = "".join(sorted({part[0] for part in labels.split("|")}))
         key = rf"(?=[{first}])(?:{labels})"
         forms = [
@@ -219,7 +220,7 @@ def _fieldlabel() -> list[Rule]:
         for form, before, value, after, signs in forms:
             rules.append(
                 Rule("fieldlabel", f"{pii_type}_{form}", pii_type, confidence, value, before, after,
-                     flags="iUd", trim="both", needs=signs, low_needs=(stems,))
+                     flags="iUd", trim="both", needs=signs, low_needs=(stems, tails))
             )
     return rules
 
@@ -275,8 +276,26 @@ RULES: list[Rule] = [
     *_provider_export(),
 ]
 
+# cheap tests in front of the protected patterns: (lookahead, literals, long run); they do not change the matches
+_HEX_START = "(?=[0-9a-fA-F])(?<![A-Za-z0-9_])"
+_PROTECTED_HINTS = {
+    "ipv4": (r"(?=\d)", ((".",),), False),
+    "ipv6": ("(?=[0-9a-fA-F])", ((":",),), False),
+    "md5": (_HEX_START, (), True),
+    "sha1": (_HEX_START, (), True),
+    "sha256": (_HEX_START, (), True),
+    "mitre": ("(?=[Tt])", (("t", "T"),), False),
+    "iso_time": (r"(?=\d)", (("-",), (":",)), False),
+    "syslog_time": ("(?=[JFMASOND])", ((":",),), False),
+    "protocol": ("(?=[THUSRFDIPNL])", (), False),
+    "process": ("(?=[secprlwtdmnahbj])", (), False),
+    "port": ("(?=[p:])", (), False),
+    "mac": ("(?=[0-9a-fA-F])", ((":", "-"),), False),
+}
 PROTECTED_RULES: list[Rule] = [
-    Rule("protected", name, "protected", 1.0, pattern, flags=flags) for name, pattern, flags in PROTECTED_PATTERNS
+    Rule("protected", name, "protected", 1.0, _PROTECTED_HINTS[name][0] + pattern, flags=flags,
+         needs=_PROTECTED_HINTS[name][1], long_run=_PROTECTED_HINTS[name][2])
+    for name, pattern, flags in PROTECTED_PATTERNS
 ]
 
 
