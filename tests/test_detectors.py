@@ -2,7 +2,9 @@
 
 import pytest
 
-from veilwork.operators.detect import candidate_spans, detect, pick_rules
+from veilwork.operators.detect import candidate_spans, custom_spans, detect, pick_rules
+from veilwork.operators.wordlists import loose_names
+from veilwork.rules import Rule
 
 HEX64 = "a1b2c3d4" * 8
 CASES = {
@@ -133,3 +135,15 @@ def test_key_context_raises_confidence(corpus):
     key = "ghp_a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
     rows = candidate_spans(corpus([f"see {key} x", f"secret {key} x"]), pick_rules(["apikey"])).collect()
     assert {r.doc_id: r.confidence for r in rows} == {0: 0.70, 1: 0.95}
+
+
+def test_own_rules_and_names_join_the_choice(spark, corpus):
+    docs = corpus(["badge EMP-1234 of Anna, mail anna.lee@example.org", "only Bash and Anna here", "badge EMP-99"])
+    own = custom_spans(docs, [Rule("badge", "badge", "badge", 0.9, "EMP-[0-9]+")], "length(raw_value) > 6")
+    terms = spark.createDataFrame([("Anna", "firstname"), ("Bash", "firstname")], "term string, pii_type string")
+    extra = own.unionByName(loose_names(docs, terms))
+    rows = detect(docs, extra_spans=extra, protect=True).collect()
+    # "Bash" is a protected process name, also in a text where no pattern finds anything
+    assert sorted((r.doc_id, r.raw_value, r.pii_type) for r in rows) == [
+        (0, "Anna", "firstname"), (0, "EMP-1234", "badge"), (0, "anna.lee@example.org", "email"), (1, "Anna", "firstname"),
+    ]
