@@ -83,10 +83,12 @@ def bit_filter(keys: DataFrame, column: str, max_bits: int = MAX_FILTER_BITS) ->
     words = (
         both.groupBy(F.shiftright("place", 6).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     bits = np.zeros(size // 64, np.uint64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    for part in words.to_batches():
+        place, own = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        bits[place] = own.view(np.uint64)
     return BitFilter(bits)
 
 
