@@ -30,11 +30,11 @@ from .words import Words, batches
 BUCKETS = 1 << 18
 #: Rated documents that are learned from, at most about (bound of the training sample).
 RATED_DOCS = 6_000
-EPOCHS, RATE, DECAY, SEED = 12, 0.02, 1e-5, 11
+EPOCHS, RATE, DECAY, SEED = 25, 0.1, 1e-5, 11
 TEXT_BYTES = 1 << 20
 MEASURES = 6
 #: Rated documents a feature must occur in; rarer ones can't be weighed and would only add to the norm.
-LEAST_SEEN = 3
+LEAST_SEEN = 5
 #: Lengths, in bytes, of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
 
