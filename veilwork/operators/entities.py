@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import email_local, in_list, name_parts
-from ..plans import HOT_ROWS, lookup_join, stage, with_group_number
+from ..plans import lookup_join, stage, with_group_number
 
-_MAX_USUAL_ASKS = 8  # keys per value in a usual case; only decides whether exact counts are worth a job
 _USER_TYPES = ["username", "filepath_user"]
 _NAME_TYPES = ["firstname", "lastname"]
 
@@ -63,12 +62,8 @@ def parent_candidates(values: DataFrame, known: DataFrame) -> DataFrame:
     )
     asks = asks.selectExpr("mapping_id", "rule", "place", "concat(`table`, ':', k) as k")
     lookups = lookups.selectExpr("concat(`table`, ':', k) as k", "parent")
-    n_rows = values.count() * _MAX_USUAL_ASKS  # values are staged, the count comes from file metadata
-    if n_rows > HOT_ROWS:
-        asks = stage(asks, "link-asks")
-        n_rows = asks.count()
     return (
-        lookup_join(asks, lookups, "k", n_rows)
+        lookup_join(asks, lookups, "k")
         .where("parent < mapping_id")
         .select("mapping_id", "rule", "place", "parent")
     )
@@ -83,11 +78,10 @@ def choose_parent(candidates: DataFrame) -> DataFrame:
 def forest_roots(parents: DataFrame, stage_every: int = 3) -> DataFrame:
     """``(mapping_id, root_id)`` by pointer jumping: the distance to the root halves in every round."""
     links = stage(parents.select("mapping_id", F.col("parent").alias("root_id")), "links")
-    n_rows = links.count()
     rounds = 0
-    while n_rows:
+    while True:
         step = links.select(F.col("mapping_id").alias("root_id"), F.col("root_id").alias("_next"))
-        jumped = lookup_join(links, step, "root_id", n_rows).selectExpr(
+        jumped = lookup_join(links, step, "root_id").selectExpr(
             "mapping_id", "coalesce(_next, root_id) as root_id", "_next is not null as _moved"
         )
         rounds += 1
@@ -107,7 +101,6 @@ def new_person_ids(values: DataFrame, roots: DataFrame, known: DataFrame) -> Dat
     ``values`` carry their place in the order (``part``, ``loc``), so new persons are numbered in the
     order of their first value without another sort.
     """
-    n_rows = values.count()
     known_roots = known.selectExpr("mapping_id as root_id", "entity_id as _known")
     rooted = values.join(roots, "mapping_id", "left").withColumn("root_id", F.coalesce("root_id", "mapping_id"))
     rooted = rooted.join(known_roots, "root_id", "left")
@@ -123,7 +116,7 @@ def new_person_ids(values: DataFrame, roots: DataFrame, known: DataFrame) -> Dat
         .selectExpr("mapping_id as root_id", "format_string('PERSON%03d', _n) as _fresh")
     )
     return (
-        lookup_join(rooted, persons, "root_id", n_rows)
+        lookup_join(rooted, persons, "root_id")
         .withColumn("entity_id", F.coalesce("_known", "_fresh"))
         .drop("_known", "_fresh", "root_id")
     )
@@ -138,10 +131,20 @@ def link_entities(values: DataFrame, known: DataFrame) -> DataFrame:
 def merge_entities(registry: DataFrame, entities: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Manual links ``(case_id, keep, merge)``: all values of ``merge`` move to ``keep``.
 
-    Chains of links are followed to their end first.
+    Chains of links are followed to their end first. A link of a person to itself does nothing. Of several links
+    for one person the last given counts: the one with the largest ``n`` if ``links`` has that column, else the
+    largest ``keep``. Links that form a cycle have no end and raise ``ValueError``.
     """
-    final = stage(links.selectExpr("case_id", "merge", "keep", "false as _moved"), "merges")
+    given = links if "n" in links.columns else links.withColumn("n", F.lit(0))
+    one = (
+        given.where("merge <> keep").groupBy("case_id", "merge").agg(F.max(F.struct("n", "keep")).alias("last"))
+    )
+    final = stage(one.selectExpr("case_id", "merge", "last.keep as keep", "false as _moved"), "merges")
+    reach, longest = 1, final.count()
     while True:
+        if reach > 2 * longest + 2 or not final.where("merge = keep").limit(1).isEmpty():
+            raise ValueError("the links form a cycle")
+        reach *= 2
         step = final.selectExpr("case_id", "merge as keep", "keep as _next")
         jumped = final.drop("_moved").join(step, ["case_id", "keep"], "left").selectExpr(
             "case_id", "merge", "coalesce(_next, keep) as keep", "_next is not null as _moved"

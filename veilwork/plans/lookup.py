@@ -1,28 +1,14 @@
-"""Left join against a table with one row per key, safe for hot keys on the left."""
+"""Left join against a table with one row per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .staging import stage
 
-HOT_ROWS = 1_000_000
-
-
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, n_rows: int | None = None) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """``rows LEFT JOIN lookup USING (key)`` where ``lookup`` holds each key once.
 
-    ``n_rows`` is the known row count of ``rows``. Keys with more than ``HOT_ROWS`` rows are joined
-    against their own slice of the lookup. That slice has at most ``n_rows / HOT_ROWS`` rows, so it can
-    be broadcast at any data size; the other keys take the planner's choice.
+    With one row per key on the right, adaptive execution may split a hot key of ``rows`` over many tasks and
+    give each of them the key's one row, so the plan is the same for any size.
     """
-    if n_rows is None or n_rows <= HOT_ROWS:
-        return rows.join(lookup, key, "left")
-    hot = stage(
-        rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > HOT_ROWS).select(key),
-        "hot-keys",
-    )
-    hot_lookup = F.broadcast(hot.join(lookup, key, "left"))
-    cold = rows.join(F.broadcast(hot), key, "left_anti").join(lookup, key, "left")
-    return rows.join(hot_lookup, key, "inner").unionByName(cold.select(*rows.join(hot_lookup, key).columns))
+    return rows.join(lookup, key, "left")

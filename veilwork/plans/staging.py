@@ -6,6 +6,7 @@ that a small side is broadcast by Spark's own size check and a large one is shuf
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,9 @@ def stage_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]-]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    # one machine: driver and tasks are one process, so any folder is shared
     root = tempfile.mkdtemp(prefix="veilwork-stage-")
     spark.sparkContext.setCheckpointDir(root)
     return root
