@@ -6,22 +6,24 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.audit import inconsistent_mappings
 from ..operators.detect import detect
-from ..operators.registry import register
-from ..operators.rewrite import anonymize
+from ..operators.registry import REGISTRY_SCHEMA, register
+from ..operators.rewrite import anonymize, deanonymize
 from ..plans import stage, stage_root
 from ..sources.corpus import list_files, read_corpus, read_table, read_values, write_corpus
-from ..streaming.incremental import anonymize_stream, deanonymize_stream, without_replays
+from ..streaming.incremental import anonymize_stream, deanonymize_stream, read_state, without_replays
 from .registry import CASE, documents, first_empty, query, table
+from .rewriting import DOC_REGISTRY
 
 
-def _folder(spark, name):
+def folder(spark, name):
     return f"{stage_root(spark)}/veilwork/{name}-{uuid.uuid4().hex}"
 
 
 def _talks(spark, sf):
     """One text file per conversation, one line break after each turn."""
-    root = _folder(spark, "talks")
+    root = folder(spark, "talks")
     talks = table(spark, sf, "conversations").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
     talks.select("conv_id", "text").write.partitionBy("conv_id").text(root)
     return root
@@ -48,7 +50,7 @@ def q_list_files(spark, sf):
 @query("read_table", "select cast(c_custkey as varchar) as c_custkey, c_name, c_mktsegment from customer")
 def q_read_table(spark, sf):
     """A delimited file with header, all columns as strings."""
-    path = _folder(spark, "customer") + ".tsv"
+    path = folder(spark, "customer") + ".tsv"
     table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(path, header=True, sep="\t")
     return read_table(spark, path).drop("row_id")
 
@@ -56,7 +58,7 @@ def q_read_table(spark, sf):
 @query("read_values", "select distinct trim(c_mktsegment) as value from customer")
 def q_read_values(spark, sf):
     """One column of a CSV file as a list of protected values."""
-    path = _folder(spark, "values") + ".csv"
+    path = folder(spark, "values") + ".csv"
     table(spark, sf, "customer").select("c_custkey", "c_mktsegment").write.csv(path)
     return read_values(spark, path, 1).select("value")
 
@@ -64,34 +66,48 @@ def q_read_values(spark, sf):
 @query("write_corpus", "select 'case-1' as case_id, doc_id, md5(text) as text_hash from documents")
 def q_write_corpus(spark, sf):
     """Documents written as a new table partitioned by case."""
-    out = _folder(spark, "corpus")
+    out = folder(spark, "corpus")
     write_corpus(documents(spark, sf), out, CASE)
     return spark.read.parquet(out).selectExpr("case_id", "doc_id", "md5(text) as text_hash")
 
 
 def _arrivals(spark, sf):
     """The documents as three files that a stream reads one at a time."""
-    folder = _folder(spark, "arrivals")
+    arrived = folder(spark, "arrivals")
     for i in range(3):
         part = table(spark, sf, "documents").where(F.col("doc_id") % 3 == i)
         part.selectExpr(
             "cast(doc_id as string) as doc_id", "doc_id as ord", "concat('d/', doc_id) as path", "text"
-        ).coalesce(1).write.mode("append").parquet(folder)
+        ).write.mode("append").parquet(arrived)
     return spark.readStream.schema("doc_id string, ord bigint, path string, text string").option(
         "maxFilesPerTrigger", 1
-    ).parquet(folder)
+    ).parquet(arrived)
 
 
 def _run(writer, spark):
-    writer.option("checkpointLocation", _folder(spark, "query")).trigger(availableNow=True).start().awaitTermination()
+    writer.option("checkpointLocation", folder(spark, "query")).trigger(availableNow=True).start().awaitTermination()
 
 
-@query("stream_anonymize")
+@query("stream_anonymize", f"""
+  with r as materialized (select v, token from ({DOC_REGISTRY}))
+  select cast(doc_id as varchar) as doc_id, md5(text) as restored_hash,
+    coalesce((select count(*) from r where contains(d.text, r.v)), 0) = 0 as untouched, true as one_token
+  from documents d""")
 def stream_anonymize(spark, sf):
-    """Arriving documents: each batch registers its values and is rewritten with all known ones."""
-    state, out = _folder(spark, "state"), _folder(spark, "out")
+    """Arriving documents: each batch registers its values and is rewritten with all known ones.
+
+    Token numbers depend on the order of arrival, so the check is on what doesn't: every text comes back
+    unchanged, texts without a value stay as they are, and every value has one token.
+    """
+    state, out = folder(spark, "state"), folder(spark, "out")
     _run(anonymize_stream(_arrivals(spark, sf), state, out, CASE), spark)
-    return spark.read.parquet(out).select("doc_id", "text", "n_hits", "batch")
+    registry = read_state(spark, f"{state}/registry", REGISTRY_SCHEMA)
+    rewritten = spark.read.parquet(out).select("doc_id", "ord", "text", "n_hits")
+    back = deanonymize(rewritten, registry, CASE).selectExpr("doc_id", "md5(text) as restored_hash")
+    unclear = inconsistent_mappings(registry).agg((F.count("*") == 0).alias("ok")).scalar()
+    return rewritten.join(back, "doc_id").select(
+        "doc_id", "restored_hash", F.expr("n_hits = 0").alias("untouched"), unclear.alias("one_token")
+    )
 
 
 @query("stream_restore", "select cast(doc_id as varchar) as doc_id, md5(text) as text_hash from documents")
@@ -99,9 +115,9 @@ def stream_restore(spark, sf):
     """A stream of rewritten documents restored from a fixed registry."""
     docs = documents(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
     registry = register(detect(docs, protect=True).drop("left_ctx", "right_ctx"), first_empty(spark), CASE)
-    folder, out = _folder(spark, "rewritten"), _folder(spark, "out")
-    anonymize(docs, registry, CASE).select("doc_id", "text").write.parquet(folder)
-    rewritten = spark.readStream.schema("doc_id string, text string").parquet(folder)
+    source, out = folder(spark, "rewritten"), folder(spark, "out")
+    anonymize(docs, registry, CASE).select("doc_id", "text").write.parquet(source)
+    rewritten = spark.readStream.schema("doc_id string, text string").parquet(source)
     _run(deanonymize_stream(rewritten, registry, out, CASE), spark)
     return spark.read.parquet(out).selectExpr("doc_id", "md5(text) as text_hash")
 
@@ -117,7 +133,7 @@ def stream_without_replays(spark, sf):
         "sent",
     )
     stream = spark.readStream.schema(sent.schema).parquet(sent.inputFiles()[0].rsplit("/", 1)[0])
-    out = _folder(spark, "out")
+    out = folder(spark, "out")
     writer = without_replays(stream, "sent_at", "1 hour").writeStream.format("parquet").option("path", out)
     _run(writer, spark)
     return spark.read.parquet(out).selectExpr("doc_id", "md5(text) as text_hash")

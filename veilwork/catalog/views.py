@@ -15,7 +15,7 @@ LAST_NAMES = (
     "Quist,Rossi,Schmidt,Torres,Urban,Vermeer,Weber"
 )
 
-_USER = "concat('cust.n', lpad(cast(c_custkey as varchar(20)), 6, '0'))"
+_USER = "concat('cust.n', lpad(cast(c_custkey as varchar(20)), greatest(6, cast(length(cast(c_custkey as varchar(20))) as int)), '0'))"
 
 VIEWS = {
     "ev_people": f"""
@@ -23,13 +23,13 @@ VIEWS = {
         concat({_USER}, '@mail', cast(c_custkey % 5 as varchar(20)), '.example.com') as email,
         split_part('{FIRST_NAMES}', ',', cast(c_custkey % 25 as int) + 1) as first_name,
         split_part('{LAST_NAMES}', ',', cast(c_custkey % 23 as int) + 1) as last_name,
-        case when c_custkey % 3 = 0 then concat('DESKTOP-CUST', lpad(cast(c_custkey as varchar(20)), 6, '0'))
-             else concat('LAPTOP-Cust-', lpad(cast(c_custkey as varchar(20)), 6, '0')) end as host,
+        case when c_custkey % 3 = 0 then concat('DESKTOP-CUST', lpad(cast(c_custkey as varchar(20)), greatest(6, cast(length(cast(c_custkey as varchar(20))) as int)), '0'))
+             else concat('LAPTOP-Cust-', lpad(cast(c_custkey as varchar(20)), greatest(6, cast(length(cast(c_custkey as varchar(20))) as int)), '0')) end as host,
         concat('+1 (555) ', lpad(cast(cast(floor(c_custkey / 10000) as bigint) % 1000 as varchar(20)), 3, '0'), '-',
                lpad(cast(c_custkey % 10000 as varchar(20)), 4, '0')) as phone,
         concat('BE', lpad(cast((98 - (c_custkey * 1000000 + 111400) % 97)
                  + (case when c_custkey % 7 = 0 then 1 else 0 end) as varchar(20)), 2, '0'),
-               lpad(cast(c_custkey as varchar(20)), 12, '0')) as iban
+               lpad(cast(c_custkey as varchar(20)), greatest(12, cast(length(cast(c_custkey as varchar(20))) as int)), '0')) as iban
       from customer""",
     "ev_accounts": """
       select k as doc_id, concat('Payee ', first_name, ' IBAN ',

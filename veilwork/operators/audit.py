@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import marked_parts, q
 from ..plans.staging import stage
-from .dictionary import WORD, has_wordless
+from .dictionary import RUN, WORD, wordless_runs, wordless_sizes
 from .spans import with_mark
 
 MIN_LEAK_LENGTH = 4
@@ -24,7 +24,8 @@ def value_needles(values: DataFrame) -> DataFrame:
 
     ``word``: a whole word (a word of the value with other characters on both sides inside the value).
     ``part``: a piece of a word (a word at the edge of the value may go on outside it).
-    ``pair``: two neighbouring characters, for values without any word.
+    ``run``: a run of up to ``RUN`` characters, for values without any word; of a value's runs the one that the
+    fewest values hold.
     The longest choice is taken, whole words first.
     """
     marked = with_mark(values.withColumnRenamed("raw_value", "text").select("text"), [])
@@ -38,11 +39,20 @@ def value_needles(values: DataFrame) -> DataFrame:
     rows = marked.selectExpr("text as raw_value", f"{parts} as p").selectExpr(
         "raw_value", f"if(size(p) > 1, {pick}, null) as b"
     )
-    return rows.selectExpr(
-        "raw_value",
-        "case when b is null then 'pair' when b.whole then 'word' else 'part' end as kind",
-        "case when b is null then left(raw_value, 2) else b.w end as needle",
+    worded = rows.where("b is not null").selectExpr(
+        "raw_value", "case when b.whole then 'word' else 'part' end as kind", "b.w as needle"
     )
+    by_size = " ".join(
+        f"when length(raw_value) {'=' if n < RUN else '>='} {n} then {wordless_runs('raw_value', n)}" for n in range(1, RUN + 1)
+    )
+    runs = rows.where("b is null").selectExpr("raw_value", f"posexplode(case {by_size} end) as (pos, run)")
+    rare = (
+        runs.join(runs.groupBy("run").count(), "run")
+        .groupBy("raw_value")
+        .agg(F.min(F.struct("count", "pos", "run")).alias("r"))
+        .selectExpr("raw_value", "'run' as kind", "r.run as needle")
+    )
+    return worded.unionByName(rare)
 
 
 def leaks(outputs: DataFrame, registry: DataFrame, case_id: str) -> DataFrame:
@@ -78,12 +88,11 @@ def leaks(outputs: DataFrame, registry: DataFrame, case_id: str) -> DataFrame:
         inside = word_grams.join(rare, "gram").where("contains(word, needle)").select("raw_value", "word").distinct()
         lookup = whole.unionByName(inside)
     hits = words.join(stage(lookup, "leak-words"), "word").select("doc_id", "raw_value")
-    if has_wordless(needles.withColumnRenamed("raw_value", "variant")):
-        pairs = outputs.selectExpr(
-            "doc_id", f"explode(array_distinct(regexp_extract_all(text, {q('(?s)(?=([^A-Za-z0-9_]{2}))')}, 1))) as needle"
-        )
-        wordless = needles.where("kind = 'pair'").select("raw_value", "needle")
-        hits = hits.unionByName(pairs.join(wordless, "needle").select("doc_id", "raw_value"))
+    if run_sizes := wordless_sizes(needles, "raw_value"):
+        every = ", ".join(wordless_runs("text", n) for n in run_sizes)
+        runs = outputs.selectExpr("doc_id", f"explode(array_distinct(concat({every}))) as needle")
+        wordless = needles.where("kind = 'run'").select("raw_value", "needle")
+        hits = hits.unionByName(runs.join(wordless, "needle").select("doc_id", "raw_value"))
     suspects = stage(hits.groupBy("doc_id").agg(F.collect_set("raw_value").alias("_v")), "suspects")
     found = (
         outputs.select("doc_id", "text")
@@ -96,13 +105,14 @@ def leaks(outputs: DataFrame, registry: DataFrame, case_id: str) -> DataFrame:
 
 
 def round_trip_differences(originals: DataFrame, restored: DataFrame) -> DataFrame:
-    """Documents that are not the same after restoring: lengths and the first place that differs."""
-    pairs = originals.selectExpr("doc_id", "text as before").join(
-        restored.selectExpr("doc_id", "text as after"), "doc_id", "full"
-    )
-    return pairs.where("not before <=> after").selectExpr(
-        "doc_id", "length(before) as n_before", "length(after) as n_after"
+    """Documents that are not the same after restoring: their lengths before and after.
+
+    Digests and lengths are compared; no text is moved.
+    """
+    pairs = originals.selectExpr("doc_id", "sha2(text, 256) as before", "length(text) as n_before").join(
+        restored.selectExpr("doc_id", "sha2(text, 256) as after", "length(text) as n_after"), "doc_id", "full"
     )
+    return pairs.where("not before <=> after").select("doc_id", "n_before", "n_after")
 
 
 def inconsistent_mappings(registry: DataFrame) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from ..fixed import COLUMN_TYPE_DEFAULT, COLUMN_TYPE_HINTS, TEMPLATES
 from ..functions.text import q
-from ..plans import lookup_join, stage
-from .detect import detect
+from ..plans import stage
+from .allowlist import drop_allowed
 from .registry import register
-from .rewrite import anonymize, deanonymize
+from .rewrite import anonymize, deanonymize, find_spans
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -98,35 +98,69 @@ def distinct_cells(all_cells: DataFrame) -> DataFrame:
     )
 
 
-def put_back(table: DataFrame, columns: list[str], mapping: DataFrame) -> DataFrame:
-    """Replace cells by ``mapping(value, new_value)``; cells without an entry stay."""
-    n_rows = table.count()
-    out = table
-    for c in columns:
-        side = mapping.select(F.col("value").alias(c), F.col("new_value").alias("_new"))
-        out = lookup_join(out, side, c, n_rows).withColumn(c, F.coalesce("_new", c)).drop("_new")
-    return out.select(*table.columns)
+def put_back(table: DataFrame, row_id: str, columns: list[str], mapping: DataFrame) -> DataFrame:
+    """Replace cells by ``mapping(value, new_value)``; cells without an entry stay.
+
+    All columns go through one join: the cells of a row are unpivoted, meet the mapping, and the changed ones
+    come back to their row as one small map. The plan reads the table twice, whatever the number of columns.
+    """
+    if not columns:
+        return table
+    changed = (
+        cells(table, row_id, columns)
+        .join(mapping.select("value", "new_value"), "value")
+        .groupBy(F.col("row_id").alias("_row"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "new_value"))).alias("_new"))
+    )
+    joined = table.join(changed, F.col(f"`{row_id}`") == F.col("_row"), "left")
+    place = {c: i for i, c in enumerate(columns)}
+    return joined.select(
+        *[
+            F.coalesce(F.expr(f"_new[{place[c]}]"), F.col(f"`{c}`")).alias(c) if c in place else F.col(f"`{c}`")
+            for c in table.columns
+        ]
+    )
+
+
+def as_text(table: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
+    """``table`` with the target columns as strings: in the rewritten table a number or date is text.
+
+    The row id and columns of nested types can't be rewritten and raise ``ValueError``.
+    """
+    if row_id in columns:
+        raise ValueError(f"{row_id!r} identifies the rows and can't be a target; give the table another row id")
+    nested = [c for c in columns if isinstance(table.schema[c].dataType, (ArrayType, MapType, StructType))]
+    if nested:
+        raise ValueError(f"columns of nested types can't be targets: {', '.join(nested)}")
+    texts = set(string_columns(table))
+    return table.withColumns({c: F.col(f"`{c}`").cast("string") for c in columns if c not in texts})
 
 
 def register_table(
-    table: DataFrame, row_id: str, distinct: DataFrame, registry: DataFrame, case_id: str
+    table: DataFrame, row_id: str, distinct: DataFrame, registry: DataFrame, case_id: str, **options
 ) -> DataFrame:
     """Registry of the case after a column-aware run; ``distinct`` are the distinct target cells.
 
-    1. The text of every row, kept columns included, is detected and registered.
+    1. The text of every row, kept columns and columns of other types included, is detected and registered.
     2. Target cells with a detected value register that value; all other target cells of at least two
        characters register as a whole, with the type of their column (blind mode).
+
+    ``options`` are those of ``find_spans``; allowlist and type filter also hold for whole cells.
     """
-    texts = [c for c in string_columns(table) if c != row_id]
+    texts = [
+        f.name for f in table.schema.fields
+        if f.name != row_id and not isinstance(f.dataType, (ArrayType, MapType, StructType))
+    ]
     lines = table.selectExpr(
         f"`{row_id}` as doc_id", f"struct(`{row_id}` as row_id, -1 as pos) as ord",
-        "concat_ws(',', " + ", ".join(f"`{c}`" for c in texts) + ") as text",
+        "concat_ws(',', " + ", ".join(f"cast(`{c}` as string)" for c in texts) + ") as text",
     )
-    first = detect(lines, protect=True).drop("left_ctx", "right_ctx")
+    first = find_spans(lines, case_id, **options)
     grown = registry.unionByName(register(first, registry, case_id))
     known = grown.where(F.col("case_id") == case_id).selectExpr("raw_value as doc_id")
     open_cells = distinct.join(known, "doc_id", "left_anti")
-    inner = stage(detect(open_cells, protect=True).drop("left_ctx", "right_ctx"), "cell-spans")
+    # a cell with a listed value inside is no whole value either
+    inner = stage(find_spans(open_cells, case_id, **{**options, "allowlist": None}), "cell-spans")
     blind = (
         open_cells.join(inner.select("doc_id").distinct(), "doc_id", "left_anti")
         .where("length(trim(text)) >= 2")
@@ -135,7 +169,13 @@ def register_table(
             f"{column_type()} as pii_type", "1.0D as confidence",
         )
     )
+    if options.get("include"):
+        blind = blind.where(F.col("pii_type").isin(options["include"]))
+    if options.get("exclude"):
+        blind = blind.where(~F.col("pii_type").isin(options["exclude"]))
     second = inner.select(blind.columns).unionByName(blind)
+    if options.get("allowlist") is not None:
+        second = drop_allowed(second, options["allowlist"], case_id)
     return grown.unionByName(register(second, grown, case_id))
 
 
@@ -148,29 +188,35 @@ def anonymize_table(
     template: str | None = None,
     pii_columns: list[str] | None = None,
     keep_columns: list[str] | None = None,
+    **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Column-aware pseudonymization; returns the rewritten table and the grown registry.
 
     A cell that is a registered value becomes its token; any other target cell has the registered
-    values inside it replaced.
+    values inside it replaced. Targets of other types are rewritten as text. Without a list of columns all but
+    the row id are targets. ``options`` are those of ``find_spans`` (allowlist, further spans, types, entropy).
     """
-    wanted = template_columns(template, pii_columns, keep_columns)
-    columns = [c for c in target_columns(table.columns, *wanted) if c in string_columns(table) and c != row_id]
-    distinct = stage(distinct_cells(cells(table, row_id, columns)), "cells")
-    grown = register_table(table, row_id, distinct, registry, case_id)
-    return _replaced(table, columns, distinct, grown, case_id, whole_first=True), grown
+    pii, keep = template_columns(template, pii_columns, keep_columns)
+    columns = target_columns(table.columns, pii, keep)
+    if not pii:
+        columns = [c for c in columns if c != row_id]
+    texts = as_text(table, row_id, columns)
+    distinct = stage(distinct_cells(cells(texts, row_id, columns)), "cells")
+    grown = register_table(texts, row_id, distinct, registry, case_id, **options)
+    return _replaced(texts, row_id, columns, distinct, grown, case_id, whole_first=True), grown
 
 
 def replace_cells(
     table: DataFrame, row_id: str, columns: list[str], registry: DataFrame, case_id: str
 ) -> DataFrame:
     """Replace registered values in the target columns; nothing new is registered."""
-    distinct = stage(distinct_cells(cells(table, row_id, columns)), "cells")
-    return _replaced(table, columns, distinct, registry, case_id)
+    texts = as_text(table, row_id, columns)
+    distinct = stage(distinct_cells(cells(texts, row_id, columns)), "cells")
+    return _replaced(texts, row_id, columns, distinct, registry, case_id)
 
 
 def _replaced(
-    table: DataFrame, columns: list[str], distinct: DataFrame, registry: DataFrame, case_id: str,
+    table: DataFrame, row_id: str, columns: list[str], distinct: DataFrame, registry: DataFrame, case_id: str,
     whole_first: bool = False,
 ) -> DataFrame:
     texts = distinct.select("doc_id", "text")
@@ -181,7 +227,7 @@ def _replaced(
         texts = texts.join(known.selectExpr("value as doc_id"), "doc_id", "left_anti")
     new = anonymize(texts, registry, case_id).selectExpr("doc_id as value", "text as new_value")
     new = new.where("new_value <> value")
-    return put_back(table, columns, stage(new.unionByName(whole) if whole_first else new, "new-cells"))
+    return put_back(table, row_id, columns, stage(new.unionByName(whole) if whole_first else new, "new-cells"))
 
 
 def restore_table(
@@ -196,7 +242,7 @@ def restore_table(
     distinct = distinct_cells(cells(table, row_id, columns).where("contains(value, 'ANON')"))
     back = deanonymize(stage(distinct.select("doc_id", "text"), "cells"), registry, case_id, only_types)
     new = back.selectExpr("doc_id as value", "text as new_value").where("new_value <> value")
-    return put_back(table, columns, stage(new, "new-cells"))
+    return put_back(table, row_id, columns, stage(new, "new-cells"))
 
 
 def replace_database(

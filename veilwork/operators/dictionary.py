@@ -4,7 +4,8 @@ Word characters are ASCII letters, digits and ``_``. A hit starts at the start o
 non-word character, and a non-word character or the end follows it. Hits are leftmost-longest.
 
 Plan: an entry is looked up by its rarest key, a word or a pair of neighbouring words with what stands
-between them. Documents give their distinct keys as 64-bit hashes; the equi-join of both leaves a few
+between them. An entry without any such word (other scripts, signs) is looked up by its rarest run of up to
+``RUN`` characters. Documents give their distinct keys as 64-bit hashes; the equi-join of both leaves a few
 candidate entries per document. These become one pattern per document, which finds the hits in one pass
 over the text. Hash collisions and candidates that do not occur cost time only, the pattern is exact.
 """
@@ -19,6 +20,8 @@ from ..plans.staging import stage
 from .spans import placed_spans, with_mark
 
 WORD = "[A-Za-z0-9_]+"
+#: Characters of the key of an entry without a word; shorter entries are their own key.
+RUN = 6
 _HIT_OPEN = "(?:(?<![A-Za-z0-9_])|(?=[^A-Za-z0-9_]))"
 _HIT_CLOSE = "(?![A-Za-z0-9_])"
 
@@ -33,16 +36,19 @@ def _word_keys(parts: str) -> str:
     return f"if(size({parts}) > 3, concat({words}, {pairs}), if(size({parts}) > 1, {words}, array()))"
 
 
-def _gram_keys(text: str) -> str:
-    """Hashes of neighbouring characters that are both no word characters (entries without any word)."""
-    pattern = q(r"(?s)(?=([^A-Za-z0-9_]{2}))")
-    return f"transform(regexp_extract_all({text}, {pattern}, 1), g -> xxhash64(g))"
+def wordless_runs(text: str, n: int) -> str:
+    """All runs of ``n`` characters of which none is a word character, found in one pass by a lookahead."""
+    return f"regexp_extract_all({text}, {q(f'(?s)(?=([^A-Za-z0-9_]{{{n}}}))')}, 1)"
 
 
-def _keys(text: str, mark: str, wordless: bool) -> str:
+def _run_keys(text: str, n: int) -> str:
+    return f"transform({wordless_runs(text, n)}, g -> xxhash64(g))"
+
+
+def _keys(text: str, mark: str, run_sizes: list[int]) -> str:
     parts = marked_parts(text, q(f"()({WORD})()"), mark)
-    words = f"get(transform(array({parts}), p -> {_word_keys('p')}), 0)"
-    return f"array_distinct(concat({words}, {_gram_keys(text)}))" if wordless else f"array_distinct({words})"
+    keys = [f"get(transform(array({parts}), p -> {_word_keys('p')}), 0)", *[_run_keys(text, n) for n in run_sizes]]
+    return f"array_distinct(concat({', '.join(keys)}))"
 
 
 def entry_anchors(entries: DataFrame) -> DataFrame:
@@ -57,7 +63,8 @@ def entry_anchors(entries: DataFrame) -> DataFrame:
         *[c for c in entries.columns if c != "variant"],
         "text as variant",
         f"case when text rlike {q(WORD)} then get(transform(array({parts}), p -> {_word_keys('p')}), 0) "
-        f"when length(text) >= 2 then {_gram_keys('text')} end as _keys",
+        + " ".join(f"when length(text) {'=' if n < RUN else '>='} {n} then {_run_keys('text', n)}" for n in range(1, RUN + 1))
+        + " end as _keys",
     )
     flat = keyed.select("variant", F.posexplode("_keys").alias("_pos", "_key"))
     weight = flat.groupBy("_key").count()
@@ -69,17 +76,17 @@ def entry_anchors(entries: DataFrame) -> DataFrame:
     return entries.join(best.selectExpr("variant", "_best._key as _key"), "variant")
 
 
-def has_wordless(entries: DataFrame) -> bool:
-    """Whether any entry holds no word at all; only then documents give character keys too."""
-    return not entries.where(f"not variant rlike {q(WORD)}").limit(1).isEmpty()
+def wordless_sizes(entries: DataFrame, column: str = "variant") -> list[int]:
+    """Run lengths of the entries without any word (at most ``RUN`` numbers); documents give runs of these only."""
+    sizes = entries.where(f"not {column} rlike {q(WORD)} and {column} <> ''")
+    return sorted(r.n for r in sizes.selectExpr(f"least(length({column}), {RUN}) as n").distinct().collect())
 
 
 def candidate_entries(docs: DataFrame, entries: DataFrame, payload: str) -> DataFrame:
     """``(doc_id, variant, payload)`` of entries whose key occurs in the document."""
     anchors = stage(entry_anchors(entries).select("variant", payload, "_key"), "anchors")
-    wordless = has_wordless(anchors)
     marked = with_mark(docs, ["doc_id"])
-    doc_keys = marked.selectExpr("doc_id", f"explode({_keys('text', '_mark', wordless)}) as _key")
+    doc_keys = marked.selectExpr("doc_id", f"explode({_keys('text', '_mark', wordless_sizes(anchors))}) as _key")
     return doc_keys.join(anchors, "_key").select("doc_id", "variant", payload)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import q
 from ..plans.staging import stage
+from .allowlist import drop_allowed
+from .detect import detect
 from .dictionary import replace_hits, splice
 from .registry import register, replacement_entries
 
@@ -18,6 +22,27 @@ def anonymize(docs: DataFrame, registry: DataFrame, case_id: str) -> DataFrame:
     return replace_hits(docs, replacement_entries(registry, case_id), "token")
 
 
+def find_spans(
+    docs: DataFrame,
+    case_id: str,
+    *,
+    allowlist: DataFrame | None = None,
+    extra: Callable[[DataFrame], DataFrame] | None = None,
+    include: list[str] | None = None,
+    exclude: list[str] | None = None,
+    min_entropy: float = 3.5,
+) -> DataFrame:
+    """Spans that a job registers: detected, unprotected, not on the allowlist of the case.
+
+    ``extra`` gives further spans of the documents (word lists, own rules); ``include`` and ``exclude`` are types.
+    """
+    spans = detect(
+        docs, protect=True, include=include, exclude=exclude, min_entropy=min_entropy,
+        extra_spans=extra(docs) if extra else None,
+    ).drop("left_ctx", "right_ctx")
+    return spans if allowlist is None else drop_allowed(spans, allowlist, case_id)
+
+
 def anonymize_corpus(
     docs: DataFrame, spans: DataFrame, registry: DataFrame, case_id: str
 ) -> tuple[DataFrame, DataFrame]:

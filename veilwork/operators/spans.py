@@ -13,7 +13,8 @@ from ..functions.text import free_mark, marked_parts, q, value_ends
 from ..rules import Rule
 
 SPAN = "struct<rule:int,start:int,end:int,raw_value:string,left_ctx:string,right_ctx:string>"
-_CTX_PIECES = 20  # pieces looked back: more than enough for 50 characters between marked values
+# pieces that surely hold 50 characters: a match and the gap before it have one character at least
+_CTX_PIECES = 100
 _LEFT, _RIGHT = 50, 20
 
 

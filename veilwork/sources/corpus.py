@@ -16,25 +16,53 @@ _TEXT = (
 )
 
 
-def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """``files(path, length, content)``; ``path`` is relative to ``root``. Content is read only if used."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if not recursive:
-        reader = reader.option("pathGlobFilter", "*")
+def hidden_files(spark: SparkSession, root: str, recursive: bool = True) -> list[str]:
+    """Files that Spark's readers pass over without a word: a part of their path starts with ``_`` or ``.``.
+
+    Only names are listed; job leftovers (``_SUCCESS`` and checksum files) don't count.
+    """
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(base, recursive)
+    top = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    found = []
+    while files.hasNext():
+        path = files.next().getPath().toString().removeprefix(top)
+        name = path.rsplit("/", 1)[-1]
+        if any(p[0] == "." or (p[0] == "_" and "=" not in p) for p in path.split("/") if p):
+            if name != "_SUCCESS" and not (name.startswith(".") and name.endswith(".crc")):
+                found.append(path)
+    return sorted(found)
+
+
+def list_files(spark: SparkSession, root: str, recursive: bool = True, skip_hidden: bool = False) -> DataFrame:
+    """``files(path, length, content)``; ``path`` is relative to ``root``. Content is read only if used.
+
+    Spark can't read files whose name, or folder, starts with ``_`` or ``.``. A corpus that holds some raises
+    ``ValueError`` with their names, so that nothing is left out in silence; ``skip_hidden`` accepts that.
+    """
+    if not skip_hidden and (hidden := hidden_files(spark, root, recursive)):
+        shown = ", ".join(hidden[:20]) + (", …" if len(hidden) > 20 else "")
+        raise ValueError(f"{len(hidden)} files can't be read because of their names (rename them): {shown}")
+    # never partition discovery: a folder ``k=v`` is a folder like any other
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     base = q(root.rstrip("/") + "/")
-    return reader.load(root).selectExpr(
+    files = reader.load(root).selectExpr(
         f"regexp_replace(path, concat('^.*?\\\\Q', {base}, '\\\\E'), '') as path", "length", "content"
     )
+    return files if recursive else files.where("not contains(path, '/')")
 
 
-def read_corpus(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, recursive: bool = True, skip_hidden: bool = False) -> DataFrame:
     """``docs(doc_id, ord, path, text, file_hash)`` of all supported files, in path order.
 
-    UTF-8, or Latin-1 where the bytes are not valid UTF-8. The order is numbered over the paths alone;
-    the contents are not sorted.
+    UTF-8, or Latin-1 where the bytes are not valid UTF-8. Paths are ordered part by part, so a folder comes
+    before a file whose name goes on after the folder's. The order is numbered over the paths alone; the
+    contents are not sorted.
     """
-    files = file_formats(list_files(spark, root, recursive)).where("adapter is not null")
-    order = with_dense_number(sequence_table(files.select("path"), ["path"], "paths"), "ord")
+    files = file_formats(list_files(spark, root, recursive, skip_hidden)).where("adapter is not null")
+    parts = files.selectExpr("path", "split(path, '/') as parts")
+    order = with_dense_number(sequence_table(parts, ["parts"], "paths"), "ord")
     return (
         files.selectExpr("path", f"{_TEXT} as text", "sha2(content, 256) as file_hash")
         .join(order.select("path", "ord"), "path")
@@ -43,13 +71,24 @@ def read_corpus(spark: SparkSession, root: str, recursive: bool = True) -> DataF
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or TSV with header, all strings, with ``row_id`` in file order."""
+    """CSV or TSV with header, all strings, with ``row_id`` in file order; an empty cell is an empty string.
+
+    Quoted cells may hold line breaks, so a file is read by one task; several files are ordered by name.
+    """
     suffix = "." + path.rsplit(".", 1)[-1].lower()
     table = spark.read.csv(
         path, header=True, sep=TABLE_EXTENSIONS[suffix], quote='"', escape='"', multiLine=True,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
-    return table.select(F.monotonically_increasing_id().alias("row_id"), "*")
+    return _in_file_order(table, "row_id").na.fill("", table.columns)
+
+
+def _in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """Number rows by file name and place in the file; ``name`` comes first."""
+    columns = rows.columns
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    seq = sequence_table(placed, ["_file", "_at"], "file-rows")
+    return with_dense_number(seq, name, base=-1).select(name, *columns)
 
 
 def write_corpus(docs: DataFrame, out: str, case_id: str) -> None:
@@ -67,9 +106,9 @@ def write_bucketed_corpus(docs: DataFrame, table: str, buckets: int) -> None:
 
 
 def read_values(spark: SparkSession, path: str, column: int = 0) -> DataFrame:
-    """``(n, value)`` of a value list: one per line, or one column of a CSV file."""
+    """``(n, value)`` of a value list: one per line, or one column of a CSV file (cells may hold line breaks)."""
     if path.lower().endswith(".csv"):
-        lines = spark.read.csv(path, header=False).selectExpr("monotonically_increasing_id() as n", f"_c{column} as value")
+        lines = spark.read.csv(path, header=False, quote='"', escape='"', multiLine=True).selectExpr(f"_c{column} as value")
     else:
-        lines = spark.read.text(path).selectExpr("monotonically_increasing_id() as n", "value")
-    return clean_values(lines)
+        lines = spark.read.text(path).select("value")
+    return clean_values(_in_file_order(lines, "n"))

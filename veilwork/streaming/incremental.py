@@ -7,14 +7,14 @@ only those of earlier batches, so a retry gives the same tokens. One query per c
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.text import q
-from ..operators.detect import detect
 from ..operators.registry import LEDGER_SCHEMA, REGISTRY_SCHEMA, register
-from ..operators.rewrite import anonymize, deanonymize
+from ..operators.rewrite import anonymize, deanonymize, find_spans
 from ..plans.staging import stage
 
 DOC_SCHEMA = "doc_id string, ord bigint, path string, text string"
@@ -22,11 +22,12 @@ DOC_SCHEMA = "doc_id string, ord bigint, path string, text string"
 
 def read_state(spark: SparkSession, folder: str, schema: str, before: int | None = None) -> DataFrame:
     """All rows of a state folder, or those of batches before ``before``."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        rows = spark.read.schema(f"{schema}, batch bigint").parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, batch bigint").parquet(folder)
     if before is not None:
         rows = rows.where(F.col("batch") < before)
     return rows.drop("batch")
@@ -36,23 +37,25 @@ def _write_batch(rows: DataFrame, folder: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
 
-def anonymize_stream(docs: DataFrame, state_dir: str, out: str, case_id: str) -> DataStreamWriter:
+def anonymize_stream(docs: DataFrame, state_dir: str, out: str, case_id: str, **options) -> DataStreamWriter:
     """Writer that anonymizes a stream of documents; start it with a checkpoint location.
 
-    Documents whose path the ledger already holds are skipped, and so are repeats inside a batch.
+    Documents whose path the ledger already holds are skipped. Of several documents with one path in a batch
+    the one with the smallest ``(ord, doc_id, text)`` counts, so a retry makes the same choice. ``options`` are
+    those of ``find_spans`` (allowlist, further spans, types, entropy).
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        registry = read_state(spark, f"{state_dir}/registry", REGISTRY_SCHEMA, batch_id)
+        registry = stage(read_state(spark, f"{state_dir}/registry", REGISTRY_SCHEMA, batch_id), "known-state")
         ledger = read_state(spark, f"{state_dir}/ledger", LEDGER_SCHEMA, batch_id)
         done = ledger.where((F.col("case_id") == case_id) & (F.col("direction") == "anonymize")).select("path")
-        fresh = stage(batch.dropDuplicates(["path"]).join(done, "path", "left_anti"), "arrived")
-        spans = detect(fresh, protect=True).drop("left_ctx", "right_ctx")
-        new = register(spans, registry, case_id)
+        one = batch.groupBy("path").agg(F.min(F.struct("ord", "doc_id", "text")).alias("d"))
+        one = one.select("d.doc_id", "d.ord", "path", "d.text")
+        fresh = stage(one.join(done, "path", "left_anti"), "arrived")
+        new = register(find_spans(fresh, case_id, **options), registry, case_id)
         _write_batch(new, f"{state_dir}/registry", batch_id)
-        written = read_state(spark, f"{state_dir}/registry", REGISTRY_SCHEMA, batch_id + 1)
-        _write_batch(anonymize(fresh, written, case_id), out, batch_id)
+        _write_batch(anonymize(fresh, registry.unionByName(new), case_id), out, batch_id)
         # the time is that of the data, so a retry writes the same rows
         marks = fresh.selectExpr(
             f"{q(case_id)} as case_id", "path", "'anonymize' as direction", "sha2(text, 256) as file_hash",
