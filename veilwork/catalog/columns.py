@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..fixed import COLUMN_TYPE_DEFAULT, COLUMN_TYPE_HINTS
 from ..operators.columns import (
     all_text_cells,
     anonymize_table,
@@ -11,11 +12,11 @@ from ..operators.columns import (
     replace_cells,
     replace_database,
     restore_table,
-    string_columns,
 )
 from ..operators.registry import register
 from ..plans import stage
 from .registry import CASE, first_empty, query, table, view
+from .sqltools import lit
 
 # first appearance of everything an account table registers: mails of the rows, then whole cells
 _TABLE_REGISTRY = """
@@ -117,21 +118,21 @@ def q_column_types(spark, sf):
     return cells.groupBy("column").agg(F.count("*").alias("n")).selectExpr("column", f"{column_type()} as pii_type", "n")
 
 
-_HINTS = ["HomeEmail", "mobile_nr", "hotel", "UserId", "nickname", "Achternaam", "postadres", "IBAN_1", "biography", "city"]
+def _type_case(name: str) -> str:
+    whens = " ".join(
+        "when " + " or ".join(f"contains(lower({name}), {lit(w)})" for w in words) + f" then {lit(t)}" for words, t in COLUMN_TYPE_HINTS
+    )
+    return f"case {whens} else {lit(COLUMN_TYPE_DEFAULT)} end"
 
 
-@query("column_type_hints", """
-  select c_custkey % 10 as n, col as column_name, case c_custkey % 10 when 0 then 'email' when 1 then 'phone' when 2 then 'phone' when 3 then 'username'
-      when 4 then 'username' when 5 then 'name' when 6 then 'address' when 7 then 'iban' when 8 then 'name' else 'name' end as pii_type, count(*) as n_rows
-  from (select *, split_part('HomeEmail,mobile_nr,hotel,UserId,nickname,Achternaam,postadres,IBAN_1,biography,city', ',', cast(c_custkey % 10 as int) + 1) as col from customer)
-  group by all""")
+@query("column_type_hints", f"""
+  select {_type_case('word')} as pii_type, count(*) as n_names, min(word) as first_name
+  from (select distinct unnest(string_split(text, ' ')) as word from documents) group by 1""")
 def column_type_hints(spark, sf):
-    names = ",".join(_HINTS)
-    rows = table(spark, sf, "customer").selectExpr(
-        "c_custkey % 10 as n", f"split_part('{names}', ',', cast(c_custkey % 10 as int) + 1) as column_name"
-    )
-    return rows.groupBy("n", "column_name").agg(F.count("*").alias("n_rows")).selectExpr(
-        "n", "column_name", f"{column_type('column_name')} as pii_type", "n_rows"
+    """All words of the documents as if they were column names."""
+    words = table(spark, sf, "documents").selectExpr("explode(split(text, ' ')) as word").distinct()
+    return words.groupBy(F.expr(column_type("word")).alias("pii_type")).agg(
+        F.count("*").alias("n_names"), F.min("word").alias("first_name")
     )
 
 
@@ -147,14 +148,19 @@ def _segments(spark, sf):
 
 @query("replace_database", """
   select 'customer' as "table", c_custkey as row_id, c_name as a, 'TOK' || substr(md5(c_mktsegment), 1, 8) as b, c_acctbal as num from customer
-  union all select 'supplier', s_suppkey, 'TOK' || substr(md5(s_name), 1, 8), '', s_acctbal from supplier""")
+  union all select 'supplier', s_suppkey, 'TOK' || substr(md5(s_name), 1, 8), '', s_acctbal from supplier
+  union all select 'orders', o_orderkey, o_orderstatus, o_orderpriority, o_totalprice from orders
+  union all select 'nation', n_nationkey, n_name, '', n_regionkey from nation""")
 def q_replace_database(spark, sf):
     """String columns of all tables rewritten, other types untouched."""
-    tables = {n: table(spark, sf, n) for n in ("customer", "supplier")}
-    out = replace_database(tables, {"customer": "c_custkey", "supplier": "s_suppkey"}, _segments(spark, sf), CASE)
-    assert string_columns(out["customer"]) == ["c_name", "c_mktsegment"]
-    return out["customer"].selectExpr(
-        "'customer' as table", "c_custkey as row_id", "c_name as a", "c_mktsegment as b", "c_acctbal as num"
-    ).unionByName(
-        out["supplier"].selectExpr("'supplier' as table", "s_suppkey as row_id", "s_name as a", "'' as b", "s_acctbal as num")
-    )
+    tables, ids = _tables(spark, sf)
+    out = replace_database(tables, ids, _segments(spark, sf), CASE)
+    shown = {
+        "customer": ("c_name", "c_mktsegment", "c_acctbal"), "supplier": ("s_name", "''", "s_acctbal"),
+        "orders": ("o_orderstatus", "o_orderpriority", "o_totalprice"), "nation": ("n_name", "''", "cast(n_regionkey as double)"),
+    }
+    parts = [
+        out[name].selectExpr(f"'{name}' as table", f"cast({ids[name]} as bigint) as row_id", f"{a} as a", f"{b} as b", f"{n} as num")
+        for name, (a, b, n) in shown.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

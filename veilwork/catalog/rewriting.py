@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..fixed import TOKEN_PREFIXES, UNKNOWN_PREFIX
 from ..operators import audit
 from ..operators.detect import detect
 from ..operators.dictionary import hit_rows
@@ -26,11 +27,11 @@ from ..plans import stage
 from . import sqltools as S
 from .registry import CASE, corpus, documents, first_empty, query, table, view
 
-PREFIX_SQL = """case pii_type when 'email' then 'ANONEMAIL' when 'phone' then 'ANONPHONE' when 'iban' then 'ANONIBAN'
-  when 'apikey' then 'ANONKEY' when 'password' then 'ANONPASS' when 'username' then 'ANONUSER'
-  when 'firstname' then 'ANONFIRST' when 'lastname' then 'ANONLAST' when 'address' then 'ANONADDR'
-  when 'hostname' then 'ANONHOST' when 'filepath_user' then 'ANONUSER' when 'name' then 'ANONNAME'
-  when 'social_handle' then 'ANONHANDLE' else 'ANONUNK' end"""
+PREFIX_SQL = (
+    "case pii_type "
+    + " ".join(f"when {S.lit(t)} then {S.lit(p)}" for t, p in TOKEN_PREFIXES.items())
+    + f" else {S.lit(UNKNOWN_PREFIX)} end"
+)
 
 
 def firsts_sql(spans: str) -> str:

@@ -6,6 +6,8 @@ views grow with the data.
 
 from __future__ import annotations
 
+from ..fixed import SUBSCRIBER_HEADER
+
 FIRST_NAMES = (
     "Anna,Boris,Carla,Daniel,Elena,Fabio,Greta,Hugo,Irene,Jonas,Klara,Lukas,Marta,Nico,Olga,Pablo,Quentin,Rosa,"
     "Stefan,Tilda,Ugo,Vera,Wim,Xenia,Yara"
@@ -66,10 +68,10 @@ VIEWS = {
         '"twitter_username": "tw', cast(k as varchar(20)), 'q"', chr(10),
         'Tag ', 'dd', cast(k as varchar(20)), 'k#', lpad(cast(k % 10000 as varchar(20)), 4, '0'), ' end') as text
       from ev_people""",
-    "ev_export": """
+    "ev_export": f"""
       select k as doc_id, concat(
         'Target username "', username, '"', chr(10),
-        'username,email_address,email_status,pending_email_address,created,creation_ip,phone_number,phone_status,pending_phone_number,former_phone_number,display_name,status', chr(10),
+        '{SUBSCRIBER_HEADER}', chr(10),
         username, ',', email, ',verified,,2026-01-01,10.0.0.1,', phone, ',sms,,,', first_name, ' ', last_name, ',active', chr(10),
         '2026-01-02 10:00:00 UTC,USERNAME,old.', cast(k as varchar(20)), ',', username, ',USER', chr(10),
         '2026-01-03 10:00:00 UTC,DISPLAY_NAME,', first_name, ',', first_name, ' ', last_name, ',USER', chr(10),

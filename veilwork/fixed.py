@@ -26,6 +26,44 @@ KEY_CONTEXT = (
 )
 HASH_CONTEXT = r"(?iU)(?:md5|sha1|sha256|sha512|hash|checksum|digest|signature|fingerprint|cert)"
 
+# --- fixed values: value patterns ----------------------------------------------------------------------
+PHONE_PATTERNS = [
+    ("international", r"\+\d{1,3}[\s.-]?\(?\d{1,4}\)?[\s.-]?\d{1,4}[\s.-]?\d{1,4}[\s.-]?\d{0,4}\b"),
+    ("trunk_zero", r"\b0\d{1,3}[\s/.-]\d{2,3}[\s.-]\d{2}[\s.-]\d{2}\b"),
+    ("area_in_brackets", r"\(\d{3}\)\s?\d{3}[-.]?\d{4}\b"),
+    ("three_groups", r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b"),
+]
+IBAN_PATTERN = r"\b[A-Z]{2}\d{2}[\s]?[\dA-Z]{4}[\s]?(?:[\dA-Z]{4}[\s]?){1,7}[\dA-Z]{1,4}\b"
+# name, value, whether it stands between quotes, blanks or signs
+KEY_PATTERNS = [
+    ("cloud_access_id", r"\b(?:AKIA|ABIA|ACCA|ASIA)[0-9A-Z]{16}\b", False),
+    ("cloud_secret", r"[A-Za-z0-9+/]{40}", True),
+    ("maps_key", r"\bAIza[0-9A-Za-z_-]{35}\b", False),
+    ("payment_key", r"\b[sr]k_(?:live|test)_[0-9a-zA-Z]{24,}\b", False),
+    ("lower_hex", r"\b[a-f0-9]{32,64}\b", False),
+    ("forge_token", r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9_]{36,}\b", False),
+    ("bot_token", r"\b\d{8,10}:[A-Za-z0-9_-]{35}\b", False),
+    ("long_alnum", r"[A-Za-z0-9]{32,}", True),
+]
+KEY_OPENING, KEY_CLOSING = r"[\s=\"':]", r"[\s\"';\n]"
+HEX_IS_LABEL = r"\s*[.:]"
+DRIVE_PATH, DRIVE_USER = r"[A-Za-z]:\\Users\\", r"[^\\/:*?\"<>|\s]+"
+HOME_PATH, HOME_USER = "/home/", r"[^/\s]+"
+HOST_PATTERN = r"\b(?:LAPTOP|DESKTOP|PC|WORKSTATION|NB|NOTEBOOK)[-_][A-Za-z][A-Za-z0-9_-]{2,}\b"
+USERNAME_VALUE = r"[a-zA-Z][a-zA-Z0-9._-]{2,30}"
+USERNAME_WORDS = r"(?:for|user|User|USER|login|Login|account|Account)\s+"
+USERNAME_ASSIGNED = r"(?:username|user|operator|admin|owner)\s*[=:]\s*[\"']?"
+USERNAME_KEYS = r"username|user_?name|subscriber|account_?name|login_?name|member_?name|caller_?id"
+AT_HANDLE, U_HANDLE = r"@[A-Za-z][A-Za-z0-9._]{0,29}", r"u/[A-Za-z0-9_-]{3,20}"
+SOCIAL_KEYS = (
+    r"screen[_\s]?name|snap(?:chat)?[_\s]?(?:user(?:name)?|handle)"
+    r"|(?:twitter|instagram|tiktok|telegram|discord|reddit|youtube|facebook|fb)"
+    r"[_\s]?(?:user(?:name)?|handle|name|screen[_\s]?name)"
+    r"|user[_\s]?handle|social[_\s]?handle"
+)
+SOCIAL_VALUE = r"[A-Za-z][A-Za-z0-9._-]{1,30}"
+TAG_PATTERN = r"\b[A-Za-z][A-Za-z0-9._-]{1,31}#\d{4}\b"
+
 # --- fixed values: words that are never a value --------------------------------------------------------
 SYSTEM_ACCOUNTS = [
     "public", "default", "all users", "default user", "administrator",
@@ -157,38 +195,38 @@ COLUMN_TYPE_DEFAULT = "name"
 # --- fixed values: provider templates --------------------------------------------------------------------
 TEMPLATES = {
     "microsoft-signin": {
-        "description": "Microsoft 365 Sign-In Activity logs",
+        "description": "Sign-ins of an office tenant",
         "pii_columns": ["UserPrincipalName", "DisplayName", "DeviceName"],
         "keep_columns": ["IPAddress", "Timestamp", "Location", "Status", "AppDisplayName"],
     },
     "microsoft-audit": {
-        "description": "Microsoft 365 Audit Log",
+        "description": "Audit trail of an office tenant",
         "pii_columns": ["UserId", "UserKey", "ObjectId"],
         "keep_columns": ["CreationDate", "Operation", "Workload", "ClientIP", "ResultStatus"],
     },
     "isp-connection": {
-        "description": "ISP connection/session logs",
+        "description": "Connections of an internet provider's customers",
         "pii_columns": ["subscriber_name", "subscriber_email", "subscriber_address", "account_holder"],
         "keep_columns": ["source_ip", "dest_ip", "dest_port", "protocol", "timestamp", "bytes_sent",
                          "session_duration"],
     },
     "crypto-kyc": {
-        "description": "Cryptocurrency exchange KYC/account data",
+        "description": "Customer checks of a coin exchange",
         "pii_columns": ["full_name", "email", "phone", "address", "date_of_birth", "iban"],
         "keep_columns": ["user_id", "currency", "amount", "wallet_address", "ip", "transaction_id"],
     },
     "google-account": {
-        "description": "Google Account activity/takeout data",
+        "description": "Export of a web account",
         "pii_columns": ["name", "email", "phone", "recovery_email", "recovery_phone"],
         "keep_columns": ["ip_address", "timestamp", "activity_type", "device_id"],
     },
     "telegram-user": {
-        "description": "Telegram user/message data",
+        "description": "Users and messages of a messenger",
         "pii_columns": ["username", "Username", "first_name", "last_name", "Name", "phone_number", "Phone", "bio"],
         "keep_columns": ["user_id", "ID", "date", "DTG", "message_id", "chat_id", "ip_address", "IP", "Type"],
     },
     "meta-records": {
-        "description": "Meta (Facebook/Instagram) subscriber records",
+        "description": "Subscriber records of social networks",
         "pii_columns": ["name", "email", "phone", "vanity_name", "screen_name"],
         "keep_columns": ["uid", "ip_address", "timestamp", "registration_ip", "machine_cookie"],
     },
