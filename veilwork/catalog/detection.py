@@ -78,6 +78,24 @@ def detect_username(spark, sf):
     return _spans(corpus(spark, sf, "ev_log"), "username")
 
 
+@query("detect_apikey_families", _check(S.apikeys("ev_secrets")))
+def detect_apikey_families(spark, sf):
+    """All eight families of keys."""
+    return _spans(corpus(spark, sf, "ev_secrets"), "apikey")
+
+
+@query("detect_phone_families", _check(S.phones("ev_secrets")))
+def detect_phone_families(spark, sf):
+    """Numbers with a leading zero and numbers of three groups."""
+    return _spans(corpus(spark, sf, "ev_secrets"), "phone")
+
+
+@query("detect_username_contexts", _check(S.usernames("ev_secrets")))
+def detect_username_contexts(spark, sf):
+    """Names that are assigned, in an access log, and under a key."""
+    return _spans(corpus(spark, sf, "ev_secrets"), "username")
+
+
 _BEFORE = r"((?:^|[\s,;:(\[{" + '"' + r"']))"
 _AT = f"{_BEFORE}({fixed.AT_HANDLE})([^A-Za-z0-9@]|$)"
 _U = f"{_BEFORE}({fixed.U_HANDLE})([^A-Za-z0-9]|$)"

@@ -77,6 +77,21 @@ VIEWS = {
         '2026-01-03 10:00:00 UTC,DISPLAY_NAME,', first_name, ',', first_name, ' ', last_name, ',USER', chr(10),
         'old.', cast(k as varchar(20)), ',', username, ',2026-01-02 10:00:00 UTC', chr(10)) as text
       from ev_people""",
+    "ev_secrets": """
+      select k as doc_id, concat('value "',
+        case k % 8
+          when 0 then concat('AKIA', upper(substr(md5(email), 1, 16)))
+          when 1 then concat(upper(md5(email)), lower(substr(md5(host), 1, 8)))
+          when 2 then concat('AIza', md5(email), upper(substr(md5(host), 1, 3)))
+          when 3 then concat('sk_live_', md5(email))
+          when 4 then concat(md5(email), substr(md5(host), 1, 8))
+          when 5 then concat('ghp_', upper(md5(email)), substr(md5(host), 1, 8))
+          when 6 then concat(cast(10000000 + k as varchar(20)), ':', md5(email), upper(substr(md5(host), 1, 3)))
+          else concat(md5(email), upper(substr(md5(host), 1, 9))) end,
+        '" call 04', lpad(cast(k % 100 as varchar(20)), 2, '0'), ' 12 34 56 or 555-', lpad(cast(k % 1000 as varchar(20)), 3, '0'), '-4567', chr(10),
+        'operator = "', username, '"', chr(10), '10.0.0.1 - ', first_name, '.', last_name, ' [01/Jan]', chr(10),
+        '{"caller_id": "', last_name, '_', cast(k as varchar(20)), '"}') as text
+      from ev_people""",
     "ev_table": """
       select o_orderkey as row_id, concat('2026-03-01T08:', lpad(cast(o_orderkey % 60 as varchar(20)), 2, '0'), ':00Z') as Timestamp,
         email as UserPrincipalName, concat(first_name, ' ', last_name) as DisplayName,
