@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -27,6 +28,7 @@ HEADLINE = [
     "dictionary_match",
     "anonymize_documents",
     "leak_audit_documents",
+    "restore_log",
     "round_trip_audit",
     "register_log",
     "anonymize_log",
@@ -43,6 +45,7 @@ def main() -> None:
         .appName("veilwork-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="veilwork-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -5,11 +5,16 @@ from pyspark.sql import functions as F
 
 from veilwork.operators import allowlist as A
 from veilwork.operators.audit import inconsistent_mappings, leaks, round_trip_differences
-from veilwork.operators.columns import anonymize_table, restore_table, target_columns, template_columns, templates
-from veilwork.operators.detect import detect
+from veilwork.operators.columns import anonymize_table, put_back, restore_table, target_columns, template_columns, templates
+from veilwork.operators.detect import detect, pick_rules
+from veilwork.operators.dictionary import candidate_entries, hit_rows
+from veilwork.operators.entities import merge_entities
 from veilwork.operators.registry import empty_case, number_tokens, open_at_rest, protect_at_rest, register
 from veilwork.operators.rewrite import anonymize, anonymize_corpus, deanonymize
-from veilwork.plans import lookup, sequence_table, with_dense_number, with_group_number
+from veilwork.plans import lookup_join, sequence_table, with_dense_number, with_group_number
+from veilwork.operators.spans import span_rows
+from veilwork.sources.corpus import list_files, read_corpus, read_table, read_values
+from veilwork.sources.jobs import anonymize_files, restore_files
 from veilwork.streaming.incremental import anonymize_stream
 
 TEXTS = [
@@ -105,13 +110,11 @@ def test_tokens_past_three_digits(spark):
     assert (rows[0].token, rows[-1].token) == ("ANONEMAIL001", "ANONEMAIL1200")
 
 
-def test_hot_keys_join_like_plain(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "HOT_ROWS", 50)
+def test_lookup_with_hot_and_null_keys(spark):
     rows = spark.range(600).selectExpr("id", "if(id % 3 = 0, 'hot', if(id % 50 = 1, null, cast(id % 40 as string))) as k")
     table = spark.createDataFrame([("hot", 1), ("5", 2)], "k string, v int")
-    got = lookup.lookup_join(rows, table, "k", 600).select("id", "k", "v").collect()
-    plain = rows.join(table, "k", "left").select("id", "k", "v").collect()
-    assert sorted(map(str, got)) == sorted(map(str, plain)) and len(got) == 600
+    got = lookup_join(rows, table, "k").collect()
+    assert len(got) == 600 and sum(r.v == 1 for r in got) == 200 and all((r.v == 2) == (r.k == "5") for r in got)
 
 
 def test_allowlist(spark, corpus):
@@ -176,3 +179,117 @@ def test_stream(spark, tmp_path):
     text = {r.doc_id: r.text for r in rows}
     assert text["0"] == "Accepted for ANONUSER001 from 10.0.0.5, mail ANONEMAIL001"
     assert text["2"] == "mail ANONEMAIL002 and ANONEMAIL004, (ANONEMAIL004)"
+
+
+def test_manual_links(spark):
+    registry = spark.createDataFrame(
+        [("c", i, f"P{i}", "name", f"v{i}", f"T{i}", i, "") for i in range(1, 6)], empty_case(spark)["registry"].schema
+    )
+    entities = spark.createDataFrame([("c", f"P{i}", "person", "") for i in range(1, 6)], empty_case(spark)["entities"].schema)
+    links = lambda *rows: spark.createDataFrame([("c", *r) for r in rows], "case_id string, keep string, merge string, n int")
+    moved, left = merge_entities(registry, entities, links(("P1", "P1", 0), ("P2", "P3", 1), ("P4", "P3", 2), ("P5", "P4", 3)))
+    assert {r.raw_value: r.entity_id for r in moved.collect()} == {"v1": "P1", "v2": "P2", "v3": "P5", "v4": "P5", "v5": "P5"}
+    assert moved.count() == 5 and sorted(r.entity_id for r in left.collect()) == ["P1", "P2", "P5"]
+    for cycle in ([("P1", "P2", 0), ("P2", "P1", 0)], [("P1", "P2", 0), ("P2", "P3", 0), ("P3", "P1", 0)]):
+        with pytest.raises(ValueError):
+            merge_entities(registry, entities, links(*cycle))
+
+
+def test_typed_targets(spark):
+    table = spark.createDataFrame([(1, 5551234567, "x"), (2, None, "y")], "id int, phone bigint, note string")
+    empty = empty_case(spark)["registry"]
+    out, registry = anonymize_table(table, "id", empty, "c", pii_columns=["Phone"])
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(1, "ANONPHONE001", "x"), (2, None, "y")]
+    with pytest.raises(ValueError):
+        anonymize_table(table, "id", empty, "c", pii_columns=["id"])
+    with pytest.raises(ValueError):
+        anonymize_table(table.selectExpr("id", "array(note) as note"), "id", empty, "c", pii_columns=["note"])
+
+
+def test_column_plan_does_not_grow(spark):
+    """The table is read a fixed number of times, whatever the number of columns."""
+    mapping = spark.createDataFrame([("a", "T")], "value string, new_value string")
+    scans = []
+    for n in (1, 6, 30):
+        table = spark.range(3).selectExpr("id", *[f"if(id = 1, 'a', 'b{i}') as c{i}" for i in range(n)])
+        out = put_back(table, "id", [f"c{i}" for i in range(n)], mapping)
+        scans.append(out._jdf.queryExecution().optimizedPlan().toString().count("Range ("))
+        assert sorted(map(tuple, out.collect())) == [(0, *[f"b{i}" for i in range(n)]), (1, *["T"] * n), (2, *[f"b{i}" for i in range(n)])]
+    assert scans[0] == scans[1] == scans[2] == 2
+
+
+def test_table_with_allowlist_and_types(spark):
+    table = spark.createDataFrame([(1, "tom@example.org"), (2, "ann@example.org"), (3, "Tom V")], "id int, who string")
+    listed = spark.createDataFrame([("c", "TOM@example.org", "email", ""), ("c", "tom v", "name", "")], empty_case(spark)["allowlist"].schema)
+    out, _ = anonymize_table(table, "id", empty_case(spark)["registry"], "c", pii_columns=["who"], allowlist=listed)
+    assert [r.who for r in out.orderBy("id").collect()] == ["tom@example.org", "ANONEMAIL001", "Tom V"]
+    out, _ = anonymize_table(table, "id", empty_case(spark)["registry"], "c", pii_columns=["who"], include=["email"])
+    assert [r.who for r in out.orderBy("id").collect()] == ["ANONEMAIL001", "ANONEMAIL002", "Tom V"]
+
+
+def test_entries_of_any_script(spark, corpus):
+    docs = corpus(["王芳 и 李, иван", "иванов", "李", "!?李"])
+    entries = spark.createDataFrame([("李", "one"), ("王芳", "two"), ("иван", "four"), ("?!", "none")], "variant string, name string")
+    hits = hit_rows(docs, entries, "name").collect()
+    assert sorted((r.doc_id, r.raw_value) for r in hits if r.raw_value != "иван") == [(0, "李"), (0, "王芳"), (2, "李"), (3, "李")]
+
+
+def test_candidates_of_other_scripts_stay_few(spark, corpus):
+    """Candidates of a document don't grow with the dictionary."""
+    alphabet = "абвгдежзийклмнопрст"
+    word = lambda i: "".join(alphabet[(i // 19**k) % 19] for k in range(4)) + "ов"
+    docs = corpus([" ".join(word(i * 37) for i in range(400))])
+    found = []
+    for n in (1000, 4000, 16000):
+        entries = spark.createDataFrame([(word(i), "x") for i in range(n)], "variant string, name string")
+        found.append(candidate_entries(docs, entries, "name").count())
+    assert found[2] <= 3 * 400 and found[2] <= 450
+
+
+def test_leaks_of_other_scripts(spark, corpus):
+    docs = corpus(["здесь иванов!", "иван", "про иванова и 王芳李明"])
+    registry = spark.createDataFrame(
+        [("c", "иванов", "name", "T1"), ("c", "王芳李明", "name", "T2"), ("c", "петров", "name", "T3")],
+        "case_id string, raw_value string, pii_type string, token string",
+    )
+    assert sorted((r.doc_id, r.raw_value) for r in leaks(docs, registry, "c").collect()) == [(0, "иванов"), (2, "иванов"), (2, "王芳李明")]
+
+
+def test_files(spark, tmp_path):
+    root = tmp_path / "in"
+    for name, text in {"a.txt": "1", "a/b.txt": "2", "k=v/c.txt": "mail x@example.org", "z.bin": "no"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    paths = [r.path for r in read_corpus(spark, str(root)).orderBy("ord").collect()]
+    assert paths == ["a/b.txt", "a.txt", "k=v/c.txt"]
+    assert sorted(r.path for r in list_files(spark, str(root), recursive=False).collect()) == ["a.txt", "z.bin"]
+    state, summary = anonymize_files(spark, str(root), str(tmp_path / "out"), empty_case(spark), "c")
+    assert {r.path: (r.status, r.n_hits) for r in summary.collect()} == {
+        "a.txt": ("processed", 0), "a/b.txt": ("processed", 0), "k=v/c.txt": ("processed", 1), "z.bin": ("unsupported", 0)
+    }
+    texts = {r.text for r in read_corpus(spark, str(tmp_path / "out")).collect()}
+    assert texts == {"1\n", "2\n", "mail ANONEMAIL001\n"}
+    _, again = anonymize_files(spark, str(root), str(tmp_path / "again"), state, "c")
+    assert {r.status for r in again.collect()} == {"done before", "unsupported"}
+    restore_files(spark, str(tmp_path / "out"), str(tmp_path / "back"), state, "c")
+    assert "mail x@example.org\n" in {r.text for r in read_corpus(spark, str(tmp_path / "back")).collect()}
+    (root / "_notes.txt").write_text("secret")
+    (root / "a" / ".hidden.txt").write_text("secret")
+    with pytest.raises(ValueError, match="2 files.*_notes.txt.*a/.hidden.txt"):
+        list_files(spark, str(root))
+    assert list_files(spark, str(root), skip_hidden=True).count() == 4
+
+
+def test_delimited_files(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n"",x\n"l1\nl2",\n,"say ""hi"""\n')
+    assert [tuple(r) for r in read_table(spark, str(path)).collect()] == [(0, "", "x"), (1, "l1\nl2", ""), (2, "", 'say "hi"')]
+    (tmp_path / "v.csv").write_text('1,"e\nf"\n2,g\n')
+    assert [r.value for r in read_values(spark, str(tmp_path / "v.csv"), 1).orderBy("n").collect()] == ["e\nf", "g"]
+
+
+def test_left_context_of_dense_matches(spark, corpus):
+    docs = corpus(["".join(f"({i:03d}) 555-1234" for i in range(30))])
+    spans = span_rows(docs, pick_rules(["phone"]), ["doc_id"]).orderBy("start").collect()
+    text = docs.first().text
+    assert len(spans) >= 30 and all(r.left_ctx == text[max(0, r.start - 50) : r.start] for r in spans)
