@@ -62,7 +62,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_substring_dedup")
+@query(
+    "op1_substring_dedup",
+    r"""
+    with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+    words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from w),
+    places as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w where len(ws) >= 20),
+    windows as (select doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) as h from places),
+    later as (select doc_id, i from (
+      select doc_id, i, row_number() over (partition by h order by doc_id, i) as rn from windows) where rn > 1),
+    gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from later),
+    kept as (select k.doc_id, string_agg(word, ' ' order by k.j) as text, count(*) as n
+      from words k left join gone g on g.doc_id = k.doc_id and g.j = k.j where g.j is null group by k.doc_id)
+    select w.doc_id, cast(len(ws) as bigint) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+    from w left join kept using (doc_id)
+    """,
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"), PHRASE_WORDS, with_text=False)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
