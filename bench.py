@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from veilwork.catalog import QUERIES  # noqa: E402
+from veilwork.plans import clear_stages  # noqa: E402
 
 HEADLINE = [
     "detect_email",
@@ -61,6 +62,7 @@ def main() -> None:
     wanted = sys.argv[1:] or HEADLINE
     run("detect_email")
     times = {name: run(name) for name in wanted}
+    clear_stages(spark)
     spark.stop()
     print(
         json.dumps(

@@ -11,9 +11,9 @@ from veilwork.operators.dictionary import candidate_entries, hit_rows
 from veilwork.operators.entities import merge_entities
 from veilwork.operators.registry import empty_case, number_tokens, open_at_rest, protect_at_rest, register
 from veilwork.operators.rewrite import anonymize, anonymize_corpus, deanonymize
-from veilwork.plans import lookup_join, sequence_table, with_dense_number, with_group_number
+from veilwork.plans import clear_stages, lookup_join, sequence_table, stage, with_dense_number, with_group_number
 from veilwork.operators.spans import span_rows
-from veilwork.sources.corpus import list_files, read_corpus, read_table, read_values
+from veilwork.sources.corpus import list_files, read_corpus, read_table, read_values, write_bucketed_corpus
 from veilwork.sources.jobs import anonymize_files, restore_files
 from veilwork.streaming.incremental import anonymize_stream
 
@@ -293,3 +293,27 @@ def test_left_context_of_dense_matches(spark, corpus):
     spans = span_rows(docs, pick_rules(["phone"]), ["doc_id"]).orderBy("start").collect()
     text = docs.first().text
     assert len(spans) >= 30 and all(r.left_ctx == text[max(0, r.start - 50) : r.start] for r in spans)
+
+
+def test_texts_of_a_bucketed_corpus_stay_in_place(spark, corpus, run):
+    """With a bucketed corpus only the matchers move, also where they are too large to be broadcast."""
+    write_bucketed_corpus(corpus(TEXTS), "bucketed_texts", 4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for job in (anonymize, deanonymize):
+            out = job(spark.table("bucketed_texts"), run[2], "c")
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange ") == 1 and "Bucketed: true" in plan
+            assert out.count() == len(TEXTS)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql("drop table bucketed_texts")
+
+
+def test_stages_are_removed(spark, tmp_path):
+    staged = stage(spark.range(3), "some")
+    assert staged.count() == 3
+    clear_stages(spark)
+    with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist|PATH_NOT_FOUND"):
+        staged.select("id").collect()

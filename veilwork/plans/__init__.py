@@ -1,5 +1,5 @@
 from .lookup import lookup_join
 from .numbering import sequence_table, with_dense_number, with_group_number
-from .staging import stage, stage_root
+from .staging import clear_stages, run_folder, stage, stage_root
 
-__all__ = ["lookup_join", "sequence_table", "stage", "stage_root", "with_dense_number", "with_group_number"]
+__all__ = ["clear_stages", "lookup_join", "run_folder", "sequence_table", "stage", "stage_root", "with_dense_number", "with_group_number"]
