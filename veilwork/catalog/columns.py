@@ -12,6 +12,7 @@ from ..operators.columns import (
     replace_cells,
     replace_database,
     restore_table,
+    rewrite_cells,
 )
 from ..operators.registry import register
 from ..plans import stage
@@ -136,6 +137,17 @@ def column_type_hints(spark, sf):
     )
 
 
+@query("rewrite_cells", """
+  select o_orderkey, 'o_orderstatus:' || lower(o_orderstatus) as o_orderstatus, 'o_orderpriority:' || lower(o_orderpriority) as o_orderpriority
+  from orders""")
+def q_rewrite_cells(spark, sf):
+    """Cells rewritten by an own function of cell and column name."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return rewrite_cells(
+        orders, ["O_ORDERSTATUS", "o_orderpriority"], lambda cell, name: F.concat(F.lit(name + ":"), F.lower(cell))
+    )
+
+
 def _segments(spark, sf):
     """A registry of all segment and supplier names."""
     segments = table(spark, sf, "customer").selectExpr("c_mktsegment as v").distinct()

@@ -5,10 +5,10 @@ from __future__ import annotations
 from .. import fixed
 from ..operators import wordlists
 from ..operators.allowlist import drop_allowed
-from ..operators.detect import candidate_spans, detect, pick_rules
+from ..operators.detect import candidate_spans, custom_spans, detect, pick_rules
 from ..operators.reports import scan_report, scan_totals
 from ..operators.spans import resolve_overlaps, span_rows
-from ..rules import PROTECTED_RULES
+from ..rules import PROTECTED_RULES, Rule
 from . import sqltools as S
 from .registry import CASE, corpus, documents, query, span_output, table, view
 
@@ -78,6 +78,14 @@ def detect_username(spark, sf):
     return _spans(corpus(spark, sf, "ev_log"), "username")
 
 
+@query("detect_own_rule", f"""
+  select {S.SPAN_COLS} from ({S.raw_spans("documents", [(r"()(\b\d{16}\b)()", "card", 0.8)])}) where v not like '0%'""")
+def detect_own_rule(spark, sf):
+    """A rule of the caller's own: bare numbers of 16 digits, with a test on the value."""
+    rule = Rule("card", "card", "card", 0.8, r"\b\d{16}\b")
+    return span_output(custom_spans(documents(spark, sf), [rule], "not startswith(raw_value, '0')"))
+
+
 @query("detect_apikey_families", _check(S.apikeys("ev_secrets")))
 def detect_apikey_families(spark, sf):
     """All eight families of keys."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
@@ -230,6 +232,14 @@ def _replaced(
     return put_back(table, row_id, columns, stage(new.unionByName(whole) if whole_first else new, "new-cells"))
 
 
+def rewrite_cells(table: DataFrame, columns: list[str], change: Callable[[Column, str], Column]) -> DataFrame:
+    """Target columns rewritten by an own function ``change(cell, column name)``; names compare without case.
+
+    The function gets and gives a column, so it runs inside the scan like any other expression.
+    """
+    return table.withColumns({c: change(F.col(f"`{c}`"), c) for c in target_columns(table.columns, columns)})
+
+
 def restore_table(
     table: DataFrame,
     row_id: str,
