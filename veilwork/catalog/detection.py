@@ -15,11 +15,11 @@ from .registry import CASE, corpus, documents, query, span_output, table, view
 
 def _spans(docs, detector, compat=False):
     rules = pick_rules([detector])
-    return span_output(candidate_spans(docs, rules, compat=compat)).distinct()
+    return span_output(candidate_spans(docs, rules, compat=compat))
 
 
 def _check(sql: str) -> str:
-    return f"select distinct {S.SPAN_COLS} from ({sql})"
+    return f"select {S.SPAN_COLS} from ({sql})"
 
 
 @query("detect_email", _check(S.emails("documents")))
@@ -48,11 +48,18 @@ def detect_iban(spark, sf):
     return _spans(corpus(spark, sf, "ev_accounts"), "iban")
 
 
-@query("detect_apikey", _check(S.apikeys("documents")))
+@query("detect_apikey", _check(S.apikeys("documents", per_family=True)))
 def detect_apikey(spark, sf):
     return _spans(documents(spark, sf), "apikey")
 
 
+@query("detect_apikey_entropy", _check(S.apikeys("ev_secrets", min_entropy=4.0, per_family=True)))
+def detect_apikey_entropy(spark, sf):
+    """Keys above a higher entropy."""
+    keys = candidate_spans(corpus(spark, sf, "ev_secrets"), pick_rules(["apikey"]), min_entropy=4.0)
+    return span_output(keys)
+
+
 @query("detect_credential", _check(S.credentials("documents")))
 def detect_credential(spark, sf):
     return _spans(documents(spark, sf), "credential")
@@ -86,7 +93,7 @@ def detect_own_rule(spark, sf):
     return span_output(custom_spans(documents(spark, sf), [rule], "not startswith(raw_value, '0')"))
 
 
-@query("detect_apikey_families", _check(S.apikeys("ev_secrets")))
+@query("detect_apikey_families", _check(S.apikeys("ev_secrets", per_family=True)))
 def detect_apikey_families(spark, sf):
     """All eight families of keys."""
     return _spans(corpus(spark, sf, "ev_secrets"), "apikey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import wordlists
 from ..operators.columns import anonymize_table
 from ..operators.dictionary import hit_rows
 from ..operators.registry import empty_case
@@ -116,6 +117,67 @@ def column_aware_typed(spark, sf):
     return out.select("n_nationkey", "n_name", "gsm")
 
 
+_MEETINGS = "concat('met ', first_name, ' at ', substr(first_name, 1, 3), ' noon')"
+
+
+@query("column_aware_names", f"""
+  with t as (select first_name, 'ANONFIRST' || format('{{:03d}}', row_number() over (order by min(k))) as token
+             from ev_people where length(first_name) >= 4 group by first_name)
+  select k, case when token is null then {_MEETINGS} else replace({_MEETINGS}, 'met ' || first_name || ' ', 'met ' || token || ' ') end as note
+  from ev_people left join t using (first_name)""")
+def column_aware_names(spark, sf):
+    """Names of a word list inside the cells of a table; names under four letters are too short."""
+    people = view(spark, sf, "ev_people")
+    terms = wordlists.clean_terms(people.selectExpr("first_name as term"), "firstname")
+    out, _ = anonymize_table(
+        people.selectExpr("k", f"{_MEETINGS} as note"), "k", empty_case(spark)["registry"], CASE, pii_columns=["note"],
+        extra=lambda docs: wordlists.loose_names(docs, terms), include=["firstname"],
+    )
+    return out
+
+
+_GUARDED = "case o_orderkey % 4 when 0 then null when 1 then '' when 2 then ' ' else o_orderstatus end"
+
+
+@query("cell_guards", f"select o_orderkey, {_GUARDED} as mark from orders")
+def cell_guards(spark, sf):
+    """Cells without a value, blank cells and cells of one character stay as they are."""
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey", f"{_GUARDED} as mark")
+    out, _ = anonymize_table(rows, "o_orderkey", empty_case(spark)["registry"], CASE, pii_columns=["mark"])
+    return out
+
+
+@query("load_word_list", """
+  select distinct 'firstname' as kind, first_name as term from ev_people
+  union all select distinct 'lastname', last_name from ev_people
+  union all select distinct 'address', last_name || ' street ' || cast(k % 90 + 1 as varchar) from ev_people""")
+def load_word_list(spark, sf):
+    """Lists in files with differently named columns; blank terms are left out, the others trimmed."""
+    people = view(spark, sf, "ev_people")
+    columns = {
+        "firstname": ("voornaam", "concat('  ', first_name)"),
+        "lastname": ("name", "concat(last_name, ' ')"),
+        "address": ("street", "concat(last_name, ' street ', cast(k % 90 + 1 as string))"),
+    }
+    lists = []
+    for kind, (name, value) in columns.items():
+        path = folder(spark, kind)
+        blank = people.selectExpr("k", f"'  ' as {name}")
+        people.selectExpr("k", f"{value} as {name}").unionByName(blank).write.csv(path, header=True)
+        lists.append(wordlists.load_word_list(spark, path, kind))
+    out = lists[0].unionByName(lists[1]).unionByName(lists[2])
+    return out.selectExpr("pii_type as kind", "term")
+
+
+@query("read_corpus_top_level", "select c_name as line from customer")
+def read_corpus_top_level(spark, sf):
+    """Only files right under a folder, which also has subfolders like ``k=v``."""
+    root = _files(spark, sf)
+    table(spark, sf, "customer").select("c_name").write.mode("append").text(root)
+    lines = read_corpus(spark, root, recursive=False).selectExpr("explode(split(text, '\\n')) as line")
+    return lines.where("line <> ''")
+
+
 @query("dictionary_match_any_script", """
   with d as (select doc_id, '«' || chr(cast(1072 + doc_id % 32 as int)) || chr(cast(1072 + doc_id % 31 as int)) || chr(cast(1072 + doc_id % 29 as int)) || '» 李' as text
              from documents)

@@ -68,14 +68,15 @@ def _phone_ok(base: str) -> str:
         {lit(flagged(fixed.PHONE_STOP_CONTEXT))})"""
 
 
-def apikeys(source: str, key: str = "doc_id", min_entropy: float = 3.5) -> str:
+def apikeys(source: str, key: str = "doc_id", min_entropy: float = 3.5, per_family: bool = False) -> str:
+    """Keys; with ``per_family`` a key that several families know is a row for each."""
     families = [
         f"({fixed.KEY_OPENING})({p})({fixed.KEY_CLOSING})" if between else f"()({p})()" for _, p, between in fixed.KEY_PATTERNS
     ]
     hex_rule = [name for name, _, _ in fixed.KEY_PATTERNS].index("lower_hex")
     base = raw_spans(source, [(p, "apikey", 0.7) for p in families], key)
     return f"""
-      select distinct doc_id, text, 'apikey' as pii_type, v, s, e,
+      select {"" if per_family else "distinct"} doc_id, text, 'apikey' as pii_type, v, s, e,
         case when regexp_matches(ctx, {lit(flagged(fixed.KEY_CONTEXT))})
           then cast(0.95 as double) else cast(0.7 as double) end as confidence
       from (select *, substring(text, greatest(s - 50, 0) + 1, least(s, 50)) as ctx from ({base})
