@@ -90,6 +90,27 @@ def corpus_job_allowlist(spark, sf):
     return _texts(spark, _job(spark, sf, listed)[1])
 
 
+_VISIT = "concat('visit ', cast(k as varchar(20)), ': met ', {name}, ' at noon')"
+
+
+@query("corpus_job_names", f"""
+  with f as (select first_name, min(struct_pack(folder := 'n=' || cast(k % 7 as varchar), k := k)) as first from ev_people
+             where length(first_name) >= 4 group by first_name),
+  t as (select first_name, 'ANONFIRST' || format('{{:03d}}', row_number() over (order by first)) as token from f)
+  select {_VISIT.format(name='coalesce(token, first_name)')} as line from ev_people left join t using (first_name)""")
+def corpus_job_names(spark, sf):
+    """A folder job with the names of a word list as further spans."""
+    people = view(spark, sf, "ev_people")
+    root, out = folder(spark, "visits"), folder(spark, "anonymized")
+    lines = people.selectExpr("k % 7 as n", "k", f"{_VISIT.format(name='first_name')} as line")
+    lines.repartition("n").sortWithinPartitions("n", "k").select("n", "line").write.partitionBy("n").text(root)
+    terms = wordlists.clean_terms(people.selectExpr("first_name as term"), "firstname")
+    anonymize_files(
+        spark, root, out, empty_case(spark), CASE, include=["firstname"], extra=lambda docs: wordlists.loose_names(docs, terms)
+    )
+    return read_corpus(spark, out).selectExpr("explode(split(text, '\\n')) as line").where("line <> ''")
+
+
 @query("column_aware_allowlist", """
   select row_id, UserPrincipalName, DisplayName, coalesce(token, DeviceName) as DeviceName
   from ev_table t left join (
