@@ -213,6 +213,29 @@ def test_fit_is_a_subset_sum():
     assert int((np.array([9, 7, 5]) * mixing.fit(np.array([9, 7, 5]), np.array([1, 2, 1]), 19)).sum()) == 19
 
 
+def nearest(sizes, counts, budget):
+    sums = {0}
+    for size, n in zip(sizes.tolist(), counts.tolist(), strict=True):
+        sums = {x + k * size for x in sums for k in range(n + 1) if x + k * size <= budget}
+    return max(sums)
+
+
+def test_fit_is_as_near_as_any_choice():
+    cases = [([90_000, 70_000, 1_000], [1, 2, 3], 140_000), ([120_000, 70_000], [1, 3], 210_000), ([9, 7], [1, 2], 14)]
+    cases += [([99_999, 100_000], [400, 300], 50_000_123), ([100_000, 100_003], [3, 3], 350_000)]
+    rng = np.random.default_rng(5)
+    for most, kinds, copies in ((60, 8, 5), (2_000, 5, 4), (300_000, 7, 4), (300_000, 12, 2)):
+        for _ in range(40):
+            sizes = rng.choice(np.arange(1, most), rng.integers(1, kinds + 1), replace=False)
+            counts = rng.integers(1, copies, len(sizes))
+            cases.append((sizes, counts, int(rng.integers(0, int((sizes * counts).sum()) + 3))))
+    for sizes, counts, budget in cases:
+        sizes, counts = np.array(sizes), np.array(counts)
+        take = mixing.fit(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((sizes * take).sum()) == nearest(sizes, counts, budget)
+
+
 def test_mix_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 7)
     frame = spark.createDataFrame([(i, "a b c", "s" if i % 3 else "t") for i in range(300)], DOCS + ", source string")

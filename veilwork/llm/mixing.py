@@ -5,8 +5,9 @@ Sources are ordered by code point (null last) and weighted by a repeating list.
 by weight. A source takes all its documents as often as its target holds them; for the rest a subset of
 its documents is chosen. Documents count by their exact length: the rest is first taken from all lengths in
 proportion, then from the longest that still fit, and the last words are fitted by a bounded-knapsack dynamic
-program over the lengths that are left. Of each length the documents first in the order of a seeded hash are
-taken.
+program over the lengths that are left. If that doesn't spend the budget to the word, the program takes more and
+more of the picks back, until it does or no choice of documents can come nearer. Of each length the documents
+first in the order of a seeded hash are taken.
 
 The dynamic program sees one row per source and length, never documents. Documents of one length are ranked
 in hashed buckets of about ``BUCKET`` rows, so that a length held by a third of all documents is spread over
@@ -30,7 +31,7 @@ from .common import WORD
 
 #: Documents of one source and length that are ranked together.
 BUCKET = 10_000
-#: Words up to which the dynamic program fits the rest of a budget.
+#: Words of a rest at which the longest-first picks end and the dynamic program takes over.
 FIT_WORDS = 1 << 16
 
 
@@ -62,11 +63,18 @@ def source_targets(totals: DataFrame, weights: list[float], share: float, most:
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, so that their words come as near to ``budget`` from below
-    as the last step can bring them. Lengths are positive and distinct."""
+    as any choice can. Lengths are positive and distinct.
+
+    Some best choice is reached from any one that misses the budget by less than the longest length ``w``, by
+    taking back at most ``w * w`` words: done in a fitting order the changes never leave the ``2 * w`` sums
+    around the budget, and changes between two equal sums can be left out. So the program need not reopen more.
+    """
     counts = counts.astype(np.int64)
-    total = int((sizes * counts).sum())
-    if budget >= total:
+    if budget >= int((sizes * counts).sum()):
         return counts.copy()
+    unit = int(np.gcd.reduce(sizes))
+    sizes, budget = sizes.astype(np.int64) // unit, budget // unit
+    total = int((sizes * counts).sum())
     take = np.floor(counts * (budget / total)).astype(np.int64)
     rest = budget - int((sizes * take).sum())
     order = np.argsort(-sizes, kind="stable")
@@ -80,30 +88,56 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             n = -min(int(counts[i] - take[i]), rest // int(sizes[i]))
             take[i] -= n
         rest += n * int(sizes[i])
-    if not 0 < rest <= FIT_WORDS:
-        return take
-    reached, first = 1, np.full(rest + 1, -1, np.int64)
+    longest, back = int(sizes.max()), 0
+    while rest > 0:
+        _refit(sizes, counts, take, order, rest, back)
+        rest = budget - int((sizes * take).sum())
+        most = min(longest * longest, budget - rest, total - budget + rest)
+        if back >= most:
+            break
+        back = min(4 * max(back, longest), most)
+    return take
+
+
+def _refit(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, order: np.ndarray, rest: int, back: int) -> None:
+    """Change ``take`` so that as much as possible of ``rest`` is spent, taking back ``back`` words at most.
+
+    A bit of ``reached`` is a sum of changes, ``back`` the sum 0. Only every ``step``-th state is kept; those
+    between are made again when the way is read backwards.
+    """
     pieces: list[tuple[int, int]] = []
-    window = (1 << (rest + 1)) - 1
-    for i in order:
-        size, free = int(sizes[i]), int(counts[i] - take[i])
-        free, part = min(free, rest // size), 1
-        while free > 0 and not reached >> rest & 1:
-            n = min(part, free)
-            new = (reached << (n * size)) & window & ~reached
-            if new:
-                raw = np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8)
-                first[np.flatnonzero(np.unpackbits(raw, bitorder="little")[: rest + 1])] = len(pieces)
-                reached |= new
-            pieces.append((int(i), n))
-            free -= n
-            part *= 2
+    for sign, free in ((-1, take), (1, counts - take)):
+        for i in order:
+            left, part = min(int(free[i]), (back + rest * (sign > 0)) // int(sizes[i])), 1
+            while left > 0:
+                n = min(part, left)
+                pieces.append((int(i), sign * n))
+                left -= n
+                part *= 2
+    window = (1 << (back + rest + 1)) - 1
+
+    def add(reached: int, piece: tuple[int, int]) -> int:
+        by = piece[1] * int(sizes[piece[0]])
+        return reached | ((reached << by) & window if by > 0 else reached >> -by)
+
+    step = math.isqrt(len(pieces)) + 1
+    reached, kept, done = 1 << back, [], 0
+    for k, piece in enumerate(pieces):
+        if reached >> (back + rest) & 1:
+            break
+        if k % step == 0:
+            kept.append(reached)
+        reached, done = add(reached, piece), k + 1
     at = reached.bit_length() - 1
-    while at:
-        i, n = pieces[first[at]]
-        take[i] += n
-        at -= n * int(sizes[i])
-    return take
+    for b in range(len(kept) - 1, -1, -1):
+        own = pieces[b * step : min(done, (b + 1) * step)]
+        states = [kept.pop()]
+        for piece in own[:-1]:
+            states.append(add(states[-1], piece))
+        for (i, n), before in zip(reversed(own), reversed(states), strict=True):
+            if not before >> at & 1:
+                take[i] += n
+                at -= n * int(sizes[i])
 
 
 def mix(
