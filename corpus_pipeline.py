@@ -5,8 +5,10 @@ documents. All but the last return the columns of documents; the last returns th
 ``size``, ``source_size``, ``target``, ``taken`` (words the mix takes) and ``copies`` beside them. Documents of
 which the mix takes nothing are left out.
 
-Repeated rows: the exact stage leaves one of them. Null texts: language ID rejects them. An empty table stays
-empty through all stages. Other columns pass through; columns named like those of the mix are replaced by them.
+Repeated rows: the exact stage leaves one of them; equal rows given to the mix alone come back as one row with the
+copies of all. Rows with equal or null ids and different texts are documents of their own. Null texts: language ID
+rejects them. An empty table stays empty through all stages. Other columns pass through; columns named like those
+of the mix are replaced by them.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm import exact, langid, mixing, queries, simhash, tiling
-from veilwork.plans.staging import stage_root
+from veilwork.plans.staging import stage, stage_root
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +44,20 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the source mix, with the number of copies of each."""
-    taken = mixing.mix(docs, queries.MIX_WEIGHTS, queries.MIX_SHARE, queries.MIX_MOST).where("taken > 0")
-    taken = taken.withColumn("copies", (F.col("taken") / F.col("size")).cast("long")).withColumnRenamed("id", "__id")
+    key = ["id", "tag", "skey"]
+    taken = mixing.mix(docs, queries.MIX_WEIGHTS, queries.MIX_SHARE, queries.MIX_MOST, with_key=True)
+    taken = taken.groupBy(*key, "size", "source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("__rows"))
+    taken = stage(taken.where("taken > 0").withColumnsRenamed({c: f"__{c}" for c in key}), "llm-mix-taken")
     own = docs.drop("size", "source_size", "target", "taken", "copies")
-    return own.join(taken, own["doc_id"].cast("long").eqNullSafe(taken["__id"])).drop("__id")
+    if taken.where("__rows > 1").limit(1).count():
+        own = own.dropDuplicates(["doc_id", "text", "source"])
+    same = (
+        own["doc_id"].cast("long").eqNullSafe(taken["__id"])
+        & (F.xxhash64(own["text"].cast("string")) == taken["__tag"])
+        & (mixing.source_key(own["source"]) == taken["__skey"])
+    )
+    taken = taken.withColumn("copies", (F.col("taken") / F.col("size")).cast("long"))
+    return own.join(taken, same).drop("__id", "__tag", "__skey", "__rows")
 
 
 STAGES = [
@@ -63,8 +75,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, step in STAGES:
         path = f"{stage_root(spark)}/veilwork/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -59,6 +59,24 @@ def test_planted_cases(spark):
     assert pipeline.STAGES[-1][1](spark, kept, SF).where("taken > 0 and copies > 0").count() > 50
 
 
+def test_mix_of_repeated_and_null_ids(spark):
+    rows = [(i, f"{'word ' * (5 + i % 40)}{i}", "en", "t" if i % 3 else "s", i) for i in range(300)]
+    rows += [(None, f"{'null ' * (5 + i % 40)}{i}", "en", None if i % 2 else "s", i) for i in range(60)]
+    rows += [(7, f"{'same ' * (5 + i % 40)}{i}", "en", "s" if i % 2 else "t", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = mixing.mix(docs, queries.MIX_WEIGHTS, queries.MIX_SHARE, queries.MIX_MOST).where("taken > 0").collect()
+    got = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(got) == len({(r.doc_id, r.text) for r in got})
+    assert sorted((r.doc_id or -1, r.size, r.target, r.taken) for r in got) == sorted((r.id or -1, r.size, r.target, r.taken) for r in want)
+    assert all(r.size == len(r.text.split()) and r.copies * r.size == r.taken for r in got)
+    assert {(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in got} <= set(rows)
+    # equal rows are one document with the copies of all
+    twice = pipeline.STAGES[-1][1](spark, docs.unionByName(docs), SF).collect()
+    again = mixing.mix(docs.unionByName(docs), queries.MIX_WEIGHTS, queries.MIX_SHARE, queries.MIX_MOST).collect()
+    assert len(twice) == len({(r.doc_id, r.text) for r in twice})
+    assert sum(r.taken for r in twice) == sum(r.taken for r in again)
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:

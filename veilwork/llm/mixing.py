@@ -11,10 +11,11 @@ first in the order of a seeded hash are taken.
 
 The dynamic program sees one row per source and length, never documents. Documents of one length are ranked
 in hashed buckets of about ``BUCKET`` rows, so that a length held by a third of all documents is spread over
-many tasks. Reruns agree: only ids, lengths, sources and the seed decide.
+many tasks. Reruns agree: only ids, texts, sources and the seed decide.
 
-Defined cases: null text has 0 words. A source without words has target 0. Rows with equal ids are documents
-of their own; if one of two equal rows is taken, either may be meant. An empty table gives an empty result.
+Defined cases: null text has 0 words. A source without words has target 0. Rows with equal or
+null ids are documents of their own, told apart by ``tag``, a hash of their text; if one of two equal rows is
+taken, either may be meant. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
@@ -140,16 +141,25 @@ def _refit(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, order: np.nd
                 at -= n * int(sizes[i])
 
 
+def source_key(source: Column) -> Column:
+    """The source as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def mix(
     docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 0,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    with_key: bool = False,
 ) -> DataFrame:
-    """``id, size, source_size, target, taken``: the words of each document that the mix takes."""
-    source = F.col(source_col).cast("string")
+    """``id, size, source_size, target, taken``: the words of each document that the mix takes.
+
+    ``with_key`` adds ``tag, skey``: with the id they say which document a row is about.
+    """
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("skey"),
+        source_key(F.col(source_col)).alias("skey"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("tag"),
     )
     rows = stage(rows, "llm-sizes")
     lengths = stage(rows.groupBy("skey", "size").agg(F.count("*").alias("n")), "llm-lengths")
@@ -173,15 +183,15 @@ def mix(
         .applyInPandas(choose, "skey string, size long, n long, whole long, extra long")
     )
     plan = stage(plan, "llm-mix-plan")
-    ranked = rows.join(plan, ["skey", "size"]).withColumn("h", F.xxhash64(F.lit(seed), "id"))
+    ranked = rows.join(plan, ["skey", "size"]).withColumn("h", F.xxhash64(F.lit(seed), F.coalesce("id", "tag")))
     ranked = ranked.withColumn("bucket", F.pmod(F.shiftright("h", 16), F.ceil(F.col("n") / BUCKET)))
     ranked = stage(ranked, "llm-mix-rows")
     each = ranked.groupBy("skey", "size", "bucket").agg(F.count("*").alias("c"))
     before = Window.partitionBy("skey", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("off", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
-    place = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("h", "id"))
+    place = F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("h", "id", "tag"))
     chosen = ranked.withColumn("rn", place).join(each, ["skey", "size", "bucket"])
     copies = F.col("whole") + (F.col("rn") + F.col("off") <= F.col("extra")).cast("long")
     return chosen.join(targets, "skey").select(
-        "id", "size", "source_size", "target", (F.col("size") * copies).alias("taken")
+        "id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), *(["tag", "skey"] if with_key else [])
     )
