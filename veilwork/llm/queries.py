@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.staging import stage_root
-from . import langid, quality
+from ..plans.staging import stage, stage_root
+from . import langid, prefixes, quality, toxicity
 from .chat import format_paths, read_turns
+from .divergence import divergence
 from .exact import exact_groups, new_index
 from .mixing import mix
 from .simhash import near_groups
@@ -237,3 +238,99 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Conversations of a block begin like its first; the largest number of turns they take over.
+HEAD_BLOCK, HEAD_TURNS = 100, 6
+
+
+@query(
+    "op11_prefix_trie",
+    r"""
+    with crc_table as (
+      select list(list_reduce(list_concat([i], range(8)), lambda c, k: case when (c & 1) = 1
+        then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)),
+    ids as (select distinct conv_id as c from conversations where conv_id is not null),
+    heads as (select c, c - c % 100 as base, xor(list_reduce(list_concat([4294967295],
+        list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 as h from ids, crc_table),
+    turns as (select conv_id as c, coalesce(text, '') as text, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') as said,
+      row_number() over (partition by conv_id order by turn nulls first,
+        md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as i from conversations),
+    built as (
+      select h.c, 1 as part, i, text, said from heads h join turns t on t.c = h.base where i <= h
+      union all select h.c, 2, i, text, said from heads h join turns t on t.c = h.c where i > h),
+    seqs as (select c, list(md5(said) order by part, i) as path, list(length(text) order by part, i) as sizes from built group by c),
+    convs as (select c, coalesce(path, []) as path, coalesce(sizes, []) as sizes from ids left join seqs using (c)),
+    passed as (select c, d, md5(array_to_string(path[1:d], ',')) as node, md5(array_to_string(path[1:d - 1], ',')) as up,
+        case when d > 0 then sizes[d] else 0 end as size, d = len(path) as ends, path[1:d] as path
+      from (select *, unnest(range(len(path) + 1)) as d from convs)),
+    nodes as (select node, d, any_value(up) as up, any_value(size) as size, any_value(path) as path, min(c) as conv_id, count(*) as n,
+        sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where ends), '')) as ends_sha256
+      from passed group by node, d),
+    kids as (select up, d - 1 as d, count(*) as kids from nodes where d > 0 group by all),
+    own as (select n.*, coalesce(kids, 0) as kids from nodes n left join kids k on k.up = n.node and k.d = n.d),
+    sums as (select above, sum(case when kids = 0 then 1 else 0 end) as leaves, sum((n - 1) * size) as saved
+      from (select *, md5(array_to_string(path[1:unnest(range(d + 1))], ',')) as above from own) group by above)
+    select o.conv_id, cast(o.d as bigint) as depth, p.conv_id as parent_conv_id, o.n as n_convs, o.kids as n_children,
+      cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, o.ends_sha256
+    from own o join sums s on s.above = o.node left join nodes p on o.d > 0 and p.node = o.up and p.d = o.d - 1
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stage(prefixes.numbered(prefixes.turn_digests(table(spark, sf_dir, "conversations"))), "llm-trie-turns")
+    heads = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(HEAD_TURNS))
+    rebuilt = prefixes.shared_heads(turns, F.col("conv_id") - F.col("conv_id") % HEAD_BLOCK, heads, HEAD_TURNS - 1)
+    nodes, ends = prefixes.prefix_trie(rebuilt, ["part", "place"])
+    ended = prefixes.end_digests(ends).select("d1", "d2", "ends_sha256")
+    return nodes.join(ended, ["d1", "d2"], "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+#: Ranked terms of a source.
+TOP_TERMS = 200
+
+
+@query(
+    "op12_source_divergence",
+    r"""
+    with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+    w as (select r, lang, source, translate(unnest(ts), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+    kept as (select lang, term, count(*) as total from w group by all having count(distinct r) >= 3),
+    langs as (select lang, count(*) as v, sum(total) as m from kept group by lang),
+    counts as (select lang, source, term, count(*) as c from w semi join kept using (lang, term) group by all),
+    groups as (select g.lang, g.source, coalesce(n, 0) as n, coalesce(v, 0) as v, coalesce(m, 0) as m
+      from (select distinct lang, source from d) g left join langs using (lang)
+      left join (select lang, source, sum(c) as n from counts group by all) using (lang, source)),
+    p as (select g.lang, g.source, term, coalesce(c, 0) as c, total, n, v, m,
+        1 + cast(1000000000 as hugeint) * (coalesce(c, 0) + 1) // (n + v) as p
+      from groups g join kept using (lang) left join counts using (lang, source, term)),
+    sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+      from p a join p b using (lang, term) where a.source <> b.source group by all),
+    pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+      from groups a join groups b on a.lang = b.lang and a.source <> b.source
+      left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+    q as (select *, 1 + cast(1000000000 as hugeint) * (total + 1) // (m + v) as q from p where c > 0),
+    items as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from q where p > q),
+    ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+      from (select * from pairs union all select * from items))
+    select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank
+    from ranked where part = 'pair' or rank <= 200
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"), TOP_TERMS)
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score_documents(docs, model)
+    return out.select(
+        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
