@@ -22,9 +22,9 @@ def in_list(x: str, values: list) -> str:
 
 
 def free_mark(text: str = "text") -> str:
-    """A one-character mark that does not occur in ``text``."""
+    """A one-character mark that does not occur in ``text``; null for a null text."""
     cases = " ".join(f"when not contains({text}, {q(c)}) then {q(c)}" for c in _NONCHARACTERS)
-    return f"case {cases} else raise_error('text holds all 32 noncharacters, no free mark') end"
+    return f"case when {text} is null then null {cases} else raise_error('text holds all 32 noncharacters, no free mark') end"
 
 
 def marked_parts(text: str, pattern: str, mark: str) -> str:

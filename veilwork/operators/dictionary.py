@@ -3,11 +3,14 @@
 Word characters are ASCII letters, digits and ``_``. A hit starts at the start of a word or at a
 non-word character, and a non-word character or the end follows it. Hits are leftmost-longest.
 
-Plan: an entry is looked up by its rarest key, a word or a pair of neighbouring words with what stands
-between them. An entry without any such word (other scripts, signs) is looked up by its rarest run of up to
-``RUN`` characters. Documents give their distinct keys as 64-bit hashes; the equi-join of both leaves a few
-candidate entries per document. These become one pattern per document, which finds the hits in one pass
-over the text. Hash collisions and candidates that do not occur cost time only, the pattern is exact.
+Plan: a text is cut into gaps and words, gap, word, gap, … An entry is looked up by its rarest key, a word or a pair
+of neighbouring words with what stands between them, as a 64-bit hash, and knows at which of its words that key
+stands. The words of the documents are tested against a bit filter of all keys where they are made; the few that
+pass are joined with the entries, each with its place. A place and the key's offset give the one place where the
+entry can stand, and there its words and the ends of its first and last gap are compared. An entry without any such
+word (other scripts, signs) lies inside a gap and is looked up by its rarest run of up to ``RUN`` characters.
+Hits of a document are sorted once and chosen in one pass; nothing is compared with a whole dictionary, and no
+candidate is capped.
 """
 
 from __future__ import annotations
@@ -15,25 +18,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import marked_parts, q, regex_quote
+from ..functions.text import marked_parts, q, value_ends
+from ..plans.keyfilter import KeyFilter, key_filter
 from ..plans.staging import stage
-from .spans import placed_spans, with_mark
+from .spans import with_mark
 
 WORD = "[A-Za-z0-9_]+"
 #: Characters of the key of an entry without a word; shorter entries are their own key.
 RUN = 6
-_HIT_OPEN = "(?:(?<![A-Za-z0-9_])|(?=[^A-Za-z0-9_]))"
-_HIT_CLOSE = "(?![A-Za-z0-9_])"
-
-
-def _word_keys(parts: str) -> str:
-    """Hashes of all words and of all neighbouring word pairs of marked parts (gap, word, gap, …)."""
-    words = f"transform(sequence(1, cast(size({parts}) div 2 as int)), i -> xxhash64(get({parts}, 2 * i - 1)))"
-    pairs = (
-        f"transform(sequence(1, cast(size({parts}) div 2 as int) - 1), i -> "
-        f"xxhash64(concat(get({parts}, 2 * i - 1), get({parts}, 2 * i), get({parts}, 2 * i + 1))))"
-    )
-    return f"if(size({parts}) > 3, concat({words}, {pairs}), if(size({parts}) > 1, {words}, array()))"
+#: Pieces that surely hold 50 characters (a word and the gap before it have one at least), and context around a hit.
+_CTX_PIECES, _LEFT, _RIGHT = 101, 50, 20
+_BLOCK = 64
 
 
 def wordless_runs(text: str, n: int) -> str:
@@ -41,39 +36,44 @@ def wordless_runs(text: str, n: int) -> str:
     return f"regexp_extract_all({text}, {q(f'(?s)(?=([^A-Za-z0-9_]{{{n}}}))')}, 1)"
 
 
-def _run_keys(text: str, n: int) -> str:
-    return f"transform({wordless_runs(text, n)}, g -> xxhash64(g))"
-
+def _parts(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns and ``p``, the text as gap, word, gap, word, …, gap."""
+    marked = with_mark(docs.where("text is not null"), keep)
+    return marked.selectExpr(*keep, f"{marked_parts('text', q(f'()({WORD})()'), '_mark')} as p")
 
-def _keys(text: str, mark: str, run_sizes: list[int]) -> str:
-    parts = marked_parts(text, q(f"()({WORD})()"), mark)
-    keys = [f"get(transform(array({parts}), p -> {_word_keys('p')}), 0)", *[_run_keys(text, n) for n in run_sizes]]
-    return f"array_distinct(concat({', '.join(keys)}))"
 
+def entry_anchors(entries: DataFrame, payload: str) -> DataFrame:
+    """``entries(variant, payload)`` with the one key under which a document finds them, and its place ``r`` in the entry.
 
-def entry_anchors(entries: DataFrame) -> DataFrame:
-    """``entries(variant, …)`` with the one key under which a document finds it.
+    ``lead`` and ``tail`` are the gaps at the ends, ``core`` is what stands between, ``k`` its number of words.
 
     The rarest key among all entries is taken, pairs before single words, so that entries which share a
     common word (a mail domain, a country code) do not meet under it.
     """
-    mark = with_mark(entries.withColumnRenamed("variant", "text"), [c for c in entries.columns if c != "variant"])
-    parts = marked_parts("text", q(f"()({WORD})()"), "_mark")
-    keyed = mark.selectExpr(
-        *[c for c in entries.columns if c != "variant"],
-        "text as variant",
-        f"case when text rlike {q(WORD)} then get(transform(array({parts}), p -> {_word_keys('p')}), 0) "
-        + " ".join(f"when length(text) {'=' if n < RUN else '>='} {n} then {_run_keys('text', n)}" for n in range(1, RUN + 1))
-        + " end as _keys",
+    cut = _parts(entries.withColumnRenamed("variant", "text").where("text <> ''"), ["text", payload])
+    words = "transform(sequence(1, k), i -> struct(i - 1 as r, xxhash64(get(p, 2 * i - 1)) as key))"
+    pairs = (
+        "if(k > 1, transform(sequence(1, k - 1), i -> struct(i - 1 as r, "
+        "xxhash64(get(p, 2 * i - 1), get(p, 2 * i), get(p, 2 * i + 1)) as key)), array())"
+    )
+    runs = " ".join(
+        f"when length(text) {'=' if n < RUN else '>='} {n} then "
+        f"transform({wordless_runs('text', n)}, (x, i) -> struct(i as r, xxhash64(x) as key))"
+        for n in range(1, RUN + 1)
+    )
+    shaped = cut.selectExpr("text as variant", payload, "p", "cast(size(p) div 2 as int) as k", "text").selectExpr(
+        "variant", payload, "k", f"if(k > 0, concat({words}, {pairs}), case {runs} end) as _keys",
+        "if(k > 0, get(p, 0), '') as lead", "if(k > 0, get(p, 2 * k), '') as tail",
+        "if(k > 0, array_join(slice(p, 2, 2 * greatest(k, 1) - 1), ''), variant) as core",
     )
-    flat = keyed.select("variant", F.posexplode("_keys").alias("_pos", "_key"))
+    flat = shaped.select("variant", F.posexplode("_keys").alias("_pos", "_k")).selectExpr("variant", "_pos", "_k.r as r", "_k.key as _key")
     weight = flat.groupBy("_key").count()
     best = (
         flat.join(weight, "_key")
         .groupBy("variant")
-        .agg(F.min(F.struct("count", F.expr("-_pos").alias("p"), "_key")).alias("_best"))
+        .agg(F.min(F.struct("count", F.expr("-_pos").alias("p"), "_key", "r")).alias("_best"))
     )
-    return entries.join(best.selectExpr("variant", "_best._key as _key"), "variant")
+    return shaped.drop("_keys").join(best.selectExpr("variant", "_best._key as _key", "_best.r as r"), "variant").drop("variant")
 
 
 def wordless_sizes(entries: DataFrame, column: str = "variant") -> list[int]:
@@ -82,82 +82,122 @@ def wordless_sizes(entries: DataFrame, column: str = "variant") -> list[int]:
     return sorted(r.n for r in sizes.selectExpr(f"least(length({column}), {RUN}) as n").distinct().collect())
 
 
-def candidate_entries(docs: DataFrame, entries: DataFrame, payload: str) -> DataFrame:
-    """``(doc_id, variant, payload)`` of entries whose key occurs in the document."""
-    anchors = stage(entry_anchors(entries).select("variant", payload, "_key"), "anchors")
-    marked = with_mark(docs, ["doc_id"])
-    doc_keys = marked.selectExpr("doc_id", f"explode({_keys('text', '_mark', wordless_sizes(anchors))}) as _key")
-    return doc_keys.join(anchors, "_key").select("doc_id", "variant", payload)
-
-
-def document_matchers(candidates: DataFrame, payload: str) -> DataFrame:
-    """One row per document: a pattern of its candidates and the map from hit to ``payload``.
-
-    Alternatives are grouped under their first two characters, so a position is compared with a few
-    dozen heads whatever the number of candidates. Inside a group the longest comes first.
-    """
-    heads = (
-        candidates.withColumn("_head", F.expr("left(variant, 2)"))
-        .groupBy("doc_id", "_head")
-        .agg(
-            F.collect_set(F.struct(F.expr("-length(variant)").alias("n"), "variant", payload)).alias("_e")
-        )
-        .selectExpr(
-            "doc_id",
-            "_head",
-            f"concat({regex_quote('_head')}, '(?:', array_join(transform(array_sort(_e), "
-            f"e -> {regex_quote('substring(e.variant, 3)')}), '|'), ')') as _alt",
-            f"map_from_entries(transform(_e, e -> struct(e.variant, e.{payload}))) as _map",
-        )
-    )
-    body = "array_join(transform(array_sort(_h), h -> h._alt), '|')"
-    pattern = f"concat({q('()(' + _HIT_OPEN + '(?:')}, {body}, {q('))(' + _HIT_CLOSE + ')')})"
-    return (
-        heads.groupBy("doc_id")
-        .agg(
-            F.collect_list(F.struct(F.expr("-length(_head)").alias("n"), "_alt")).alias("_h"),
-            F.map_from_entries(F.collect_list(F.struct("_head", "_map"))).alias("hit_map"),
-        )
-        .selectExpr("doc_id", f"{pattern} as hit_pattern", "hit_map")
+def _word_places(docs: DataFrame, keys: KeyFilter, words: str) -> DataFrame:
+    """``doc_id, i, _key``: words and pairs whose key passes, with the number of their (first) word."""
+    zipped = "arrays_zip(p, slice(p, 2, size(p)), slice(p, 3, size(p)))"
+    flat = _parts(docs, ["doc_id"]).selectExpr("doc_id", f"posexplode({zipped}) as (at, z)").where("at % 2 = 1")
+    flat = flat.where(words.replace("{word}", "z.p"))
+    hashed = flat.selectExpr(
+        "doc_id", "cast(at div 2 as int) as i", "xxhash64(z.p) as k1", "if(z.`2` is null, null, xxhash64(z.p, z.`1`, z.`2`)) as k2"
     )
+    one, two = keys.passes(F.col("k1")), F.col("k2").isNotNull() & keys.passes(F.col("k2"))
+    passed = hashed.where(one | two).selectExpr("doc_id", "i", "explode(array(k1, k2)) as _key")
+    return passed.where("_key is not null").where(keys.passes(F.col("_key")))
 
 
-def matchers(docs: DataFrame, entries: DataFrame, payload: str) -> DataFrame:
-    """Staged matcher per document; staging gives its true size, so a small one is broadcast."""
-    return stage(document_matchers(candidate_entries(docs, entries, payload), payload), "matchers")
+def _run_places(docs: DataFrame, keys: KeyFilter, sizes: list[int]) -> DataFrame:
+    """``doc_id, i, o, _key``: runs in the gaps whose key passes, with the number of the gap and the place in it."""
+    gaps = _parts(docs, ["doc_id"]).selectExpr("doc_id", "posexplode(p) as (at, gap)")
+    gaps = gaps.where(f"at % 2 = 0 and length(gap) >= {sizes[0]}")
+    places = None
+    for size in sizes:
+        runs = gaps.selectExpr("doc_id", "cast(at div 2 as int) as i", f"posexplode({wordless_runs('gap', size)}) as (o, run)")
+        places = runs if places is None else places.unionByName(runs)
+    return places.selectExpr("doc_id", "i", "o", "xxhash64(run) as _key").where(keys.passes(F.col("_key")))
 
 
-def hit_rows(docs: DataFrame, entries: DataFrame, payload: str) -> DataFrame:
-    """``(doc_id, ord, start, end, raw_value, payload)`` of all hits."""
-    found = matchers(docs, entries, payload)
-    joined = docs.select("doc_id", "ord", "text").join(found, "doc_id")
-    marked = with_mark(joined, ["doc_id", "ord", "hit_pattern", "hit_map"])
-    parts = marked_parts("text", "hit_pattern", "_mark")
-    spans = f"get(transform(array({parts}), p -> {placed_spans('p', '0')}), 0)"
-    return marked.selectExpr("doc_id", "ord", "hit_map", f"inline({spans})").selectExpr(
-        "doc_id", "ord", "start", "end", "raw_value",
-        f"get(array(hit_map[left(raw_value, 2)][raw_value]), 0) as {payload}",
-        "left_ctx", "right_ctx",
+def candidate_entries(docs: DataFrame, entries: DataFrame, payload: str, words: str = "true") -> DataFrame:
+    """``(doc_id, f, k, lead, core, tail, o, payload)``: entries that can start at word (or stand in gap) ``f``.
+
+    ``words`` is a test of ``{word}`` that every key word of the entries passes; other words aren't looked up.
+    """
+    anchors = stage(entry_anchors(entries, payload), "anchors")
+    keys = key_filter(anchors, "_key")
+    columns = ["k", "lead", "core", "tail"]
+    found = _word_places(docs, keys, words).join(anchors.where("k > 0"), "_key")
+    found = found.selectExpr("doc_id", "i - r as f", *columns, "0 as o", payload).where("f >= 0")
+    sizes = wordless_sizes(anchors.where("k = 0"), "core")
+    if not sizes:
+        return found
+    runs = _run_places(docs, keys, sizes).join(anchors.where("k = 0"), "_key")
+    return found.unionByName(runs.selectExpr("doc_id", "i as f", *columns, "o - r as o", payload).where("o >= 0"))
+
+
+#: A hit spans from offset ``os`` of gap ``gs`` to offset ``oe`` of gap ``ge``. Its fields are in the order of choice:
+#: what starts first, then what ends last.
+_LEAD = "if(x.k > 0, length(get(p, 2 * x.f)) - length(x.lead), x.o)"
+_TAIL = "if(x.k > 0, length(x.tail), x.o + length(x.core))"
+_HIT = f"struct(x.f as gs, {_LEAD} as os, -(x.f + x.k) as ge, -{_TAIL} as oe, concat(x.lead, x.core, x.tail) as value, x.payload as payload)"
+_AFTER = "get(p, 2 * (x.f + x.k))"
+_WORDS = "if(x.k = 1, get(p, 2 * x.f + 1), array_join(slice(p, 2 * x.f + 2, 2 * x.k - 1), ''))"
+_TRUE = (
+    f"if(x.k = 0, substring(get(p, 2 * x.f), x.o + 1, length(x.core)) = x.core "
+    f"and (x.o + length(x.core) < length(get(p, 2 * x.f)) or x.f = size(p) div 2), "
+    f"x.f + x.k <= size(p) div 2 and {_WORDS} = x.core and endswith(get(p, 2 * x.f), x.lead) and (x.tail = '' "
+    f"or startswith({_AFTER}, x.tail) and (length({_AFTER}) > length(x.tail) or x.f + x.k = size(p) div 2)))"
+)
+
+
+def _leftmost(hits: str) -> str:
+    """Hits in order that start where the one taken before has ended, collected in blocks to stay near linear."""
+    none = f"filter({hits}, x -> false)"
+    fold = (
+        f"aggregate({hits}, named_struct('ge', 0, 'oe', 0, 'cur', {none}, 'done', filter(array({none}), y -> false)), (a, x) -> "
+        f"if(x.gs < a.ge or x.gs = a.ge and x.os < a.oe, a, named_struct('ge', -x.ge, 'oe', -x.oe, "
+        f"'cur', if(size(a.cur) < {_BLOCK}, concat(a.cur, array(x)), array(x)), "
+        f"'done', if(size(a.cur) < {_BLOCK}, a.done, concat(a.done, array(a.cur))))), "
+        "a -> concat(flatten(a.done), a.cur))"
     )
+    return f"if(size({hits}) = 1, {hits}, {fold})"
+
 
+def chosen_hits(
+    docs: DataFrame, entries: DataFrame, payload: str, keep: list[str], how: str = "inner", texts: str = "true", words: str = "true"
+) -> DataFrame:
+    """The ``keep`` columns of the documents, ``text``, its parts ``p`` and the chosen hits ``h`` (null without candidates).
 
-def replace_hits(docs: DataFrame, entries: DataFrame, payload: str) -> DataFrame:
-    """``docs`` with every hit replaced by its payload, plus ``n_hits``."""
-    keep = [c for c in docs.columns if c != "text"]
-    joined = docs.join(matchers(docs, entries, payload), "doc_id", "left")
-    return splice(joined, keep, "hit_pattern", "hit_map", "left(x, 2)")
+    ``texts`` and ``words`` are tests that every text with a hit, and every key word, passes.
+    """
+    columns = ["f", "k", "lead", "core", "tail", "o", F.col(payload).alias("payload")]
+    found = candidate_entries(docs.where(texts), entries, payload, words)
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("c"))
+    joined = docs.join(stage(found, "candidates"), "doc_id", how)
+    marked = with_mark(joined, [*keep, "c"])
+    cut = marked.selectExpr(*keep, "text", "c", f"if(c is null, null, {marked_parts('text', q(f'()({WORD})()'), '_mark')}) as p")
+    hits = f"if(c is null, null, array_sort(transform(filter(c, x -> {_TRUE}), x -> {_HIT})))"
+    return cut.selectExpr(*keep, "text", "p", f"{hits} as h").selectExpr(*keep, "text", "p", f"if(h is null, null, {_leftmost('h')}) as h")
 
 
-def splice(rows: DataFrame, keep: list[str], pattern: str, lookup: str, head: str) -> DataFrame:
-    """Rewrite ``text``: values marked by ``pattern`` become ``lookup[head][value]`` where known."""
-    marked = with_mark(rows, [*keep, pattern, lookup])
-    parts = marked.selectExpr(
-        *keep, "text", lookup, f"if({pattern} is null, null, {marked_parts('text', pattern, '_mark')}) as _parts"
+def hit_rows(docs: DataFrame, entries: DataFrame, payload: str) -> DataFrame:
+    """``(doc_id, ord, start, end, raw_value, payload, left_ctx, right_ctx)`` of all hits."""
+    first = f"greatest(1, 2 * h.gs + 2 - {_CTX_PIECES})"
+    left = f"array_join(slice(p, {first}, 2 * h.gs + 2 - {first}), '')"
+    left = f"right(left({left}, length({left}) - length(get(p, 2 * h.gs)) + h.os), {_LEFT})"
+    right = f"substring(array_join(slice(p, 1 - 2 * h.ge, {_CTX_PIECES}), ''), 1 - h.oe, {_RIGHT})"
+    found = chosen_hits(docs, entries, payload, ["doc_id", "ord"])
+    found = found.selectExpr("doc_id", "ord", "p", "h", f"concat(array(0), {value_ends('p')}) as starts")
+    one = (
+        "h -> struct(get(starts, h.gs) + h.os as start, get(starts, -h.ge) - h.oe as end, h.value as raw_value, "
+        f"h.payload as payload, {left} as left_ctx, {right} as right_ctx)"
     )
-    new = f"coalesce({lookup}[{head}][x], x)"
-    return parts.selectExpr(
+    return found.selectExpr("doc_id", "ord", f"inline(transform(h, {one}))").withColumnRenamed("payload", payload)
+
+
+def replace_hits(docs: DataFrame, entries: DataFrame, payload: str, texts: str = "true", words: str = "true") -> DataFrame:
+    """``docs`` with every hit replaced by its payload, plus ``n_hits``; ``texts`` and ``words`` as in ``chosen_hits``."""
+    keep = [c for c in docs.columns if c not in ("text", "n_hits")]
+    found = chosen_hits(docs, entries, payload, keep, "left", texts, words)
+    # what stands between the end of the hit before (or the start) and this hit (or the end)
+    gap = "array_join(slice(p, 2 * {g0} + 1, 2 * ({g1} - {g0}) + 1), '')"
+    before = "get(h, i - 1)"
+    g0, o0 = f"if(i = 0, 0, -{before}.ge)", f"if(i = 0, 0, -{before}.oe)"
+    own = gap.format(g0=g0, g1="x.gs")
+    head = f"transform(array({own}), m -> substring(m, {o0} + 1, length(m) - {o0} - length(get(p, 2 * x.gs)) + x.os))"
+    last = "element_at(h, -1)"
+    rest = f"substring({gap.format(g0=f'(-{last}.ge)', g1='(size(p) div 2)')}, 1 - {last}.oe)"
+    pieces = f"transform(h, (x, i) -> concat(get({head}, 0), x.payload))"
+    return found.selectExpr(
         *keep,
-        f"if(_parts is null, text, array_join(transform(_parts, (x, i) -> if(i % 2 = 1, {new}, x)), '')) as text",
-        f"if(_parts is null, 0L, aggregate(_parts, named_struct('i', 0, 'n', 0L), (a, x) -> named_struct('i', a.i + 1, "
-        f"'n', a.n + if(a.i % 2 = 1 and {lookup}[{head}][x] is not null, 1L, 0L))).n) as n_hits",
+        f"if(h is null or size(h) = 0, text, concat(array_join({pieces}, ''), {rest})) as text",
+        "if(h is null, 0L, cast(size(h) as bigint)) as n_hits",
     )

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import q
-from ..plans.staging import stage
 from .allowlist import drop_allowed
 from .detect import detect
-from .dictionary import replace_hits, splice
+from .dictionary import replace_hits
 from .registry import register, replacement_entries
 
-TOKEN_SHAPE = "(?<![A-Za-z0-9_])(?:ANON[A-Z]+[0-9]{3,})(?![A-Za-z0-9_])"
+TOKEN = "^ANON[A-Z]+[0-9]{3,}$"
 
 
 def anonymize(docs: DataFrame, registry: DataFrame, case_id: str) -> DataFrame:
@@ -64,20 +63,5 @@ def deanonymize(
     known = registry.where(F.col("case_id") == case_id)
     if only_types is not None:
         known = known.where(F.col("pii_type").isin(only_types))
-    found = docs.where("contains(text, 'ANON')").selectExpr(
-        "doc_id", f"explode(array_distinct(regexp_extract_all(text, {q(TOKEN_SHAPE)}, 0))) as token"
-    )
-    # tokens differ at their end, so the lookup map is grouped by the last two characters
-    tails = (
-        found.join(known.select("token", "raw_value"), "token")
-        .groupBy("doc_id", F.expr("right(token, 2)").alias("tail"))
-        .agg(F.map_from_entries(F.collect_set(F.struct("token", "raw_value"))).alias("m"))
-    )
-    maps = stage(
-        tails.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tail", "m"))).alias("hit_map")),
-        "restore-maps",
-    )
-    keep = [c for c in docs.columns if c not in ("text", "n_hits")]
-    pattern = f"if(hit_map is null, null, {q('()(' + TOKEN_SHAPE + ')()')})"
-    joined = docs.join(maps, "doc_id", "left").withColumn("hit_pattern", F.expr(pattern))
-    return splice(joined, keep, "hit_pattern", "hit_map", "right(x, 2)")
+    tokens = known.selectExpr("token as variant", "raw_value")
+    return replace_hits(docs, tokens, "raw_value", "contains(text, 'ANON')", f"{{word}} rlike {q(TOKEN)}")
