@@ -14,7 +14,10 @@ from veilwork.operators.rewrite import anonymize, anonymize_corpus, deanonymize
 from veilwork.plans import clear_stages, lookup_join, sequence_table, stage, with_dense_number, with_group_number
 from veilwork.operators.spans import span_rows
 from veilwork.sources.corpus import list_files, read_corpus, read_table, read_values, write_bucketed_corpus
-from veilwork.sources.jobs import anonymize_files, restore_files
+from veilwork.sources import jobs
+from veilwork.sources.files import write_files
+from veilwork.sources.jobs import anonymize_files, anonymize_folder, restore_files, restore_folder
+from veilwork.sources.state import commit_state, load_state
 from veilwork.streaming.incremental import anonymize_stream
 
 TEXTS = [
@@ -268,16 +271,76 @@ def test_files(spark, tmp_path):
         "a.txt": ("processed", 0), "a/b.txt": ("processed", 0), "k=v/c.txt": ("processed", 1), "z.bin": ("unsupported", 0)
     }
     texts = {r.text for r in read_corpus(spark, str(tmp_path / "out")).collect()}
-    assert texts == {"1\n", "2\n", "mail ANONEMAIL001\n"}
+    assert texts == {"1", "2", "mail ANONEMAIL001"}
     _, again = anonymize_files(spark, str(root), str(tmp_path / "again"), state, "c")
     assert {r.status for r in again.collect()} == {"done before", "unsupported"}
     restore_files(spark, str(tmp_path / "out"), str(tmp_path / "back"), state, "c")
-    assert "mail x@example.org\n" in {r.text for r in read_corpus(spark, str(tmp_path / "back")).collect()}
-    (root / "_notes.txt").write_text("secret")
-    (root / "a" / ".hidden.txt").write_text("secret")
-    with pytest.raises(ValueError, match="2 files.*_notes.txt.*a/.hidden.txt"):
-        list_files(spark, str(root))
-    assert list_files(spark, str(root), skip_hidden=True).count() == 4
+    assert (tmp_path / "back" / "k=v" / "c.txt").read_bytes() == b"mail x@example.org"
+
+
+def _tree(root):
+    return {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file()}
+
+
+def test_files_of_any_name(spark, tmp_path):
+    root = tmp_path / "in"
+    files = {
+        "x.txt": b"a@example.org", "empty.txt": b"", "sub/empty2.log": b"", "_notes.txt": b"b@example.org\n", "a/.hidden.txt": b"\n\n",
+        ".d/_e/f.csv": "n,m\r\n\"x\ny\",c@example.org\r\n".encode(), "k=v/w%20 z#?.txt": b"tail ", "é/ü.md": "ö\n".encode(),
+        "latin.txt": "caf\u00e9".encode("latin-1"), "none": b"1", "z.bin": b"\x00",
+    }
+    for name, data in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    (root / "_SUCCESS").write_bytes(b"")
+    (root / "loop").symlink_to(root)
+    assert {r.path: r.length for r in list_files(spark, str(root)).collect()} == {n: len(d) for n, d in files.items()}
+    docs = {r.path: r.text for r in read_corpus(spark, str(root)).collect()}
+    assert docs == {n: d.decode("latin-1" if n == "latin.txt" else "utf-8") for n, d in files.items() if n not in ("none", "z.bin")}
+    summary = anonymize_folder(spark, str(root), str(tmp_path / "out"), str(tmp_path / "case"), "c")
+    assert {r.path for r in summary.collect()} == set(files)
+    restore_folder(spark, str(tmp_path / "out"), str(tmp_path / "back"), str(tmp_path / "case"), "c")
+    want = {n: d for n, d in files.items() if n not in ("none", "z.bin")} | {"latin.txt": "caf\u00e9".encode()}
+    assert _tree(tmp_path / "back") == want
+    assert b"@" not in b"".join(_tree(tmp_path / "out").values())
+
+
+def test_a_failed_run_is_repeated(spark, tmp_path, monkeypatch):
+    """Between writing the files and the state, and with another run in between."""
+    root, out, case = tmp_path / "in", tmp_path / "out", tmp_path / "case"
+    root.mkdir()
+    for i in range(6):
+        (root / f"{i}.txt").write_text(f"mail p{i % 4}@example.org")
+    real = jobs.commit_state
+
+    def broken(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(jobs, "commit_state", broken)
+    with pytest.raises(OSError, match="lost"):
+        anonymize_folder(spark, str(root), str(out), str(case), "c")
+    first = _tree(out)
+    assert len(first) == 6 and load_state(spark, str(case))[0] == 0
+    monkeypatch.setattr(jobs, "commit_state", real)
+    summary = anonymize_folder(spark, str(root), str(out), str(case), "c")
+    assert _tree(out) == first and {r.status for r in summary.collect()} == {"processed"}
+    number, state = load_state(spark, str(case))
+    assert number == 1 and state["registry"].count() == 4 and state["ledger"].count() == 6
+    assert {r.status for r in anonymize_folder(spark, str(root), str(out), str(case), "c").collect()} == {"done before"}
+    with pytest.raises(RuntimeError, match="another run"):
+        commit_state(spark, str(case), state, 1)
+
+
+def test_an_existing_file_is_never_replaced(spark, tmp_path):
+    docs = spark.createDataFrame([("a/x.txt", "new"), ("b.txt", None)], "path string, text string")
+    assert sorted((r.path, r.length) for r in write_files(docs, str(tmp_path / "o")).collect()) == [("a/x.txt", 3), ("b.txt", 0)]
+    write_files(docs, str(tmp_path / "o"))
+    other = spark.createDataFrame([("a/x.txt", "old")], "path string, text string")
+    with pytest.raises(Exception, match="exists with other content"):
+        write_files(other, str(tmp_path / "o"))
+    with pytest.raises(Exception, match="not a path under"):
+        write_files(spark.createDataFrame([("../x", "1")], "path string, text string"), str(tmp_path / "o"))
+    assert sorted(_tree(tmp_path / "o")) == ["a/x.txt", "b.txt"]
 
 
 def test_delimited_files(spark, tmp_path):

@@ -8,8 +8,9 @@ from ..operators import wordlists
 from ..operators.columns import anonymize_table
 from ..operators.dictionary import hit_rows
 from ..operators.registry import empty_case
-from ..sources.corpus import read_corpus
-from ..sources.jobs import anonymize_files, restore_files
+from ..sources.corpus import list_files, read_corpus
+from ..sources.files import write_files
+from ..sources.jobs import anonymize_files, anonymize_folder, restore_files, restore_folder
 from .corpora import folder
 from .registry import CASE, documents, query, table, view
 
@@ -90,6 +91,56 @@ def corpus_job_allowlist(spark, sf):
     return _texts(spark, _job(spark, sf, listed)[1])
 
 
+# a path of every kind (hidden file, hidden folder, key=value folder, blank and sign in a name), texts with and without
+# a last line break, and empty ones
+_PATH = """concat(case conv_id % 5 when 0 then 'k=v/_' when 1 then '.' when 2 then '_d/.e/' when 3 then 'a b%20/' else '' end,
+  'c', cast(conv_id as varchar(20)), '.', case conv_id % 3 when 0 then 'txt' when 1 then 'log' else 'csv' end)"""
+_BODY = "case when conv_id % 7 = 0 then '' else concat({body}, {mail}, case conv_id % 2 when 0 then chr(10) else '' end) end"
+_NAMED = f"""
+  select {_PATH} as path, conv_id, {_BODY.format(body="string_agg(text || chr(10), '' order by turn)", mail=_MAIL.format(k='conv_id'))} as text
+  from conversations group by conv_id"""
+
+
+def _named_files(spark, sf):
+    """One file per conversation, under names of all kinds."""
+    body = "concat(array_join(transform(array_sort(collect_list(struct(turn, text))), x -> x.text), '\n'), '\n')"
+    talks = table(spark, sf, "conversations").groupBy("conv_id").agg(F.expr(body).alias("body"))
+    text = _BODY.format(body="body", mail=_MAIL.format(k="conv_id"))
+    root = folder(spark, "named")
+    write_files(talks.selectExpr(f"{_PATH} as path", f"{text} as text"), root)
+    return root
+
+
+@query("read_corpus_all_names", f"""
+  select path, sha256(text) as file_hash, md5(text) as text_hash, row_number() over (order by string_split(path, '/')) as ord
+  from ({_NAMED})""")
+def read_corpus_all_names(spark, sf):
+    """Empty files, and names that start with a dot or an underscore, are files like others."""
+    return read_corpus(spark, _named_files(spark, sf)).selectExpr("path", "file_hash", "md5(text) as text_hash", "ord")
+
+
+@query("corpus_restore_bytes", f"select path, sha256(text) as file_hash, strlen(text) as length from ({_NAMED})")
+def corpus_restore_bytes(spark, sf):
+    """Anonymized and restored by two runs on one state folder: the same paths and the same bytes."""
+    root, out, back, state = _named_files(spark, sf), folder(spark, "out"), folder(spark, "back"), folder(spark, "case")
+    anonymize_folder(spark, root, out, state, CASE)
+    restore_folder(spark, out, back, state, CASE)
+    found = list_files(spark, back).join(read_corpus(spark, back).select("path", "file_hash"), "path")
+    return found.select("path", "file_hash", "length")
+
+
+@query("corpus_job_files", f"""
+  with t as ({_NAMED}), r as (
+    select conv_id, 'ANONEMAIL' || format('{{:03d}}', row_number() over (order by string_split(path, '/'))) as token from t where text <> '')
+  select path, md5(replace(text, {_MAIL.format(k='conv_id')}, 'mail ' || token)) as text_hash, 'processed' as status
+  from t join r using (conv_id) union all select path, md5(''), 'processed' from t where text = ''""")
+def corpus_job_files(spark, sf):
+    """Rewritten files stand under the paths of the originals, and each has a row in the summary."""
+    out = folder(spark, "out")
+    summary = anonymize_folder(spark, _named_files(spark, sf), out, folder(spark, "case"), CASE)
+    return read_corpus(spark, out).join(summary, "path").selectExpr("path", "md5(text) as text_hash", "status")
+
+
 _VISIT = "concat('visit ', cast(k as varchar(20)), ': met ', {name}, ' at noon')"
 
 

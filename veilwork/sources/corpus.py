@@ -6,67 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import TABLE_EXTENSIONS
-from ..functions.text import q
 from ..operators.allowlist import clean_values
 from ..operators.reports import file_formats
 from ..plans import sequence_table, with_dense_number
+from .files import list_tree, with_content
 
 _TEXT = (
     "if(is_valid_utf8(cast(content as string)), cast(content as string), decode(content, 'ISO-8859-1'))"
 )
 
 
-def hidden_files(spark: SparkSession, root: str, recursive: bool = True) -> list[str]:
-    """Files that Spark's readers pass over without a word: a part of their path starts with ``_`` or ``.``.
-
-    Only names are listed; job leftovers (``_SUCCESS`` and checksum files) don't count.
-    """
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(base, recursive)
-    top = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    found = []
-    while files.hasNext():
-        path = files.next().getPath().toString().removeprefix(top)
-        name = path.rsplit("/", 1)[-1]
-        if any(p[0] == "." or (p[0] == "_" and "=" not in p) for p in path.split("/") if p):
-            if name != "_SUCCESS" and not (name.startswith(".") and name.endswith(".crc")):
-                found.append(path)
-    return sorted(found)
-
-
-def list_files(spark: SparkSession, root: str, recursive: bool = True, skip_hidden: bool = False) -> DataFrame:
-    """``files(path, length, content)``; ``path`` is relative to ``root``. Content is read only if used.
-
-    Spark can't read files whose name, or folder, starts with ``_`` or ``.``. A corpus that holds some raises
-    ``ValueError`` with their names, so that nothing is left out in silence; ``skip_hidden`` accepts that.
-    """
-    if not skip_hidden and (hidden := hidden_files(spark, root, recursive)):
-        shown = ", ".join(hidden[:20]) + (", …" if len(hidden) > 20 else "")
-        raise ValueError(f"{len(hidden)} files can't be read because of their names (rename them): {shown}")
-    # never partition discovery: a folder ``k=v`` is a folder like any other
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    base = q(root.rstrip("/") + "/")
-    files = reader.load(root).selectExpr(
-        f"regexp_replace(path, concat('^.*?\\\\Q', {base}, '\\\\E'), '') as path", "length", "content"
-    )
-    return files if recursive else files.where("not contains(path, '/')")
+def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """``files(path, length)``, path relative to ``root``: every file, also empty ones and names like ``_x`` and ``.x``."""
+    return list_tree(spark, root, recursive)
 
 
-def read_corpus(spark: SparkSession, root: str, recursive: bool = True, skip_hidden: bool = False) -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """``docs(doc_id, ord, path, text, file_hash)`` of all supported files, in path order.
 
     UTF-8, or Latin-1 where the bytes are not valid UTF-8. Paths are ordered part by part, so a folder comes
-    before a file whose name goes on after the folder's. The order is numbered over the paths alone; the
-    contents are not sorted.
+    before a file whose name goes on after the folder's. The order is numbered over the paths alone; contents are
+    read afterwards, where they are used, and never shuffled.
     """
-    files = file_formats(list_files(spark, root, recursive, skip_hidden)).where("adapter is not null")
-    parts = files.selectExpr("path", "split(path, '/') as parts")
-    order = with_dense_number(sequence_table(parts, ["parts"], "paths"), "ord")
-    return (
-        files.selectExpr("path", f"{_TEXT} as text", "sha2(content, 256) as file_hash")
-        .join(order.select("path", "ord"), "path")
-        .selectExpr("path as doc_id", "ord", "path", "text", "file_hash")
+    files = file_formats(list_files(spark, root, recursive)).where("adapter is not null")
+    parts = files.selectExpr("path", "length", "split(path, '/') as parts")
+    order = with_dense_number(sequence_table(parts, ["parts"], "paths"), "ord").select("path", "length", "ord")
+    return with_content(order, root).selectExpr(
+        "path as doc_id", "ord", "path", f"{_TEXT} as text", "sha2(content, 256) as file_hash"
     )
 
 
