@@ -38,7 +38,9 @@ SCALE = 1_000_000_000
 #: Terms of a block, sources of a tile (about).
 BLOCK, TILE = 1 << 13, 64
 #: Bytes of text that are cut into terms at once, and (group, term) counts that a task holds before it hands them on.
-TEXT_BYTES, HELD = 1 << 22, 200_000
+TEXT_BYTES, HELD = 1 << 22, 600_000
+# a held count is one integer, occurrences below and documents above; bounds on both until they are handed on
+_DOC, _MOST_DOCS, _MOST_TERMS = 1 << 40, 1 << 22, 1 << 39
 
 # letters and everything beyond ASCII are parts of terms, the rest is a gap; only A-Z are folded
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -76,15 +78,19 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col, text_col)])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        size = 0
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = docs_held = terms_held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), own in held.items():
                 n = len(own)
-                yield batch_of(
-                    _COUNTS, lang=[lang] * n, source=[source] * n, term=[t.decode() for t in own],
-                    n=[x[0] for x in own.values()], docs=[x[1] for x in own.values()],
+                both = np.fromiter(own.values(), np.int64, n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.repeat(pa.scalar(lang), n), pa.repeat(pa.scalar(source), n), pa.array(list(own), pa.binary()).cast(pa.string()),
+                        pa.array(both & (_DOC - 1)), pa.array(both >> 40),
+                    ],
+                    schema=_COUNTS,
                 )
 
         for p in parts:
@@ -92,21 +98,18 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
                 here: Counter = Counter()
                 for some in terms(text):
                     here.update(some)
+                    terms_held += len(some)
                 own = held.get((lang, source))
                 if own is None:
-                    own = held[lang, source] = {b"": [0, 0]}
-                before = len(own)
+                    own = held[lang, source] = {b"": 0}
+                before, known = len(own), own.get
                 for term, n in here.items():
-                    known = own.get(term)
-                    if known is None:
-                        own[term] = [n, 1]
-                    else:
-                        known[0] += n
-                        known[1] += 1
+                    own[term] = known(term, 0) + n + _DOC
                 size += len(own) - before
-                if size > HELD:
+                docs_held += 1
+                if size > HELD or docs_held >= _MOST_DOCS or terms_held >= _MOST_TERMS:
                     yield from out()
-                    held, size = {}, 0
+                    held, size, docs_held, terms_held = {}, 0, 0, 0
         yield from out()
 
     counted = rows.mapInArrow(run, _ddl(_COUNTS))

@@ -9,9 +9,9 @@ different halves of the unlabelled sample; the score is the mean of their sigmoi
 Features are hashed words and word beginnings, present or not. Those are kept whose share among toxic examples
 differs from that in unlabelled text by ``LEAST_Z`` standard errors or more.
 
-The samples are bounded: about ``TOXIC_DOCS`` toxic and ``ANY_DOCS`` unlabelled documents with different texts, drawn
-by a seeded hash of the text, so neither repeated rows nor repeated ids can swell them; their buckets (at most
-``BUCKETS`` a document), not their texts, go to the driver. The prior is the share of toxic documents among all labelled
+The samples are bounded: about ``TOXIC_DOCS`` toxic and ``ANY_DOCS`` unlabelled documents with different texts. Toxic ids
+are drawn by a seeded hash first, then rows by one of their text, so neither repeated rows nor repeated ids can swell
+them; their buckets (at most ``BUCKETS`` a document), not their texts, go to the driver. The prior is the share of toxic documents among all labelled
 ones that may be learned from, counted over all rows, or given. Scoring is one scan over whole texts with a table of
 fixed size; nothing is shuffled.
 
@@ -179,14 +179,16 @@ def learn(
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(~held_out(F.col("id")))
-    total = rows.count()
+    scale = 1 << 30
+    cut = [int(scale * min(1.0, most / max(of, 1))) for most, of in ((TOXIC_DOCS, n["toxic"]), (ANY_DOCS, rows.count()))]
+    some = known.where("y = 1").where(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(scale)) < cut[0])
+    some = F.broadcast(some.select("id", F.lit(True).alias("hit")))  # about TOXIC_DOCS rows of 9 bytes at most
+    hits = rows.join(some, "id", "left_semi").count()
     tag = F.xxhash64(F.lit(SEED), "text")
-    draw = F.pmod(tag, F.lit(1 << 30))
-    cut_toxic, cut_any = (int((1 << 30) * min(1.0, most / max(of, 1))) for most, of in ((TOXIC_DOCS, n["toxic"]), (ANY_DOCS, total)))
-    rows = rows.where("text is not null").withColumn("tag", tag).where(draw < max(cut_toxic, cut_any))
-    flagged = rows.join(known.where("y = 1").select("id", F.lit(True).alias("hit")), "id", "left")
-    toxic = (draw < cut_toxic) & F.col("hit").isNotNull()
-    drawn = flagged.select(toxic.alias("toxic"), (draw < cut_any).alias("any"), "tag", "text").where("toxic or any")
+    draw = F.pmod(tag, F.lit(scale))
+    toxic = F.col("hit").isNotNull() & (draw < int(scale * min(1.0, TOXIC_DOCS / max(hits, 1))))
+    flagged = rows.where("text is not null").join(some, "id", "left")
+    drawn = flagged.select(toxic.alias("toxic"), (draw < cut[1]).alias("any"), tag.alias("tag"), "text").where("toxic or any")
     drawn = drawn.dropDuplicates(["tag", "toxic"])  # copies teach once
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
