@@ -1,6 +1,6 @@
 """Registered queries and their SQL checks."""
 
 from .registry import ORACLES, QUERIES
-from . import columns, corpora, detection, jobs, linking, reports, rewriting  # noqa: F401  (fill both tables)
+from . import columns, corpora, detection, evidence, jobs, linking, reports, rewriting  # noqa: F401  (fill both tables)
 
 __all__ = ["ORACLES", "QUERIES"]

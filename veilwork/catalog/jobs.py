@@ -181,12 +181,12 @@ def column_aware_allowlist(spark, sf):
 
 
 @query("column_aware_typed", """
-  select n_nationkey, n_name, 'ANONPHONE' || format('{:03d}', row_number() over (order by n_nationkey)) as gsm from nation""")
+  select c_custkey, c_name, 'ANONPHONE' || format('{:03d}', row_number() over (order by c_custkey)) as gsm from customer""")
 def column_aware_typed(spark, sf):
     """A target column of numbers is rewritten as text."""
-    rows = table(spark, sf, "nation").selectExpr("n_nationkey", "n_name", "cast(n_nationkey + 1000 as bigint) as gsm")
-    out, _ = anonymize_table(rows, "n_nationkey", empty_case(spark)["registry"], CASE, pii_columns=["GSM"])
-    return out.select("n_nationkey", "n_name", "gsm")
+    rows = table(spark, sf, "customer").selectExpr("c_custkey", "c_name", "cast(c_custkey + 1000 as bigint) as gsm")
+    out, _ = anonymize_table(rows, "c_custkey", empty_case(spark)["registry"], CASE, pii_columns=["GSM"])
+    return out.select("c_custkey", "c_name", "gsm")
 
 
 _MEETINGS = "concat('met ', first_name, ' at ', substr(first_name, 1, 3), ' noon')"

@@ -1,0 +1,8 @@
+"""Operators on documents, spans, registries and tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

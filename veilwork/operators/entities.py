@@ -69,6 +69,15 @@ def parent_candidates(values: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def same_value(values: DataFrame, known: DataFrame) -> DataFrame:
+    """``(raw_value, entity_id, mapping_id)`` of the values that the case holds already, in exactly this spelling.
+
+    Registration skips such values before any linking; this is the direct look-up.
+    """
+    asked = values.select("raw_value").distinct()
+    return asked.join(known.select("raw_value", "entity_id", "mapping_id"), "raw_value")
+
+
 def choose_parent(candidates: DataFrame) -> DataFrame:
     """One parent per value: first rule, first place in the value, earliest parent."""
     best = F.min(F.struct("rule", "place", "parent")).alias("b")
