@@ -196,8 +196,7 @@ def replace_hits(docs: DataFrame, entries: DataFrame, payload: str, texts: str =
     last = "element_at(h, -1)"
     rest = f"substring({gap.format(g0=f'(-{last}.ge)', g1='(size(p) div 2)')}, 1 - {last}.oe)"
     pieces = f"transform(h, (x, i) -> concat(get({head}, 0), x.payload))"
-    return found.selectExpr(
-        *keep,
-        f"if(h is null or size(h) = 0, text, concat(array_join({pieces}, ''), {rest})) as text",
-        "if(h is null, 0L, cast(size(h) as bigint)) as n_hits",
-    )
+    text = f"if(h is null or size(h) = 0, text, concat(array_join({pieces}, ''), {rest}))"
+    hits = "if(h is null, 0L, cast(size(h) as bigint))"
+    # made by a generator: a filter on the result stays above it, so nothing is worked out twice
+    return found.selectExpr(*keep, f"inline(array(struct({text} as text, {hits} as n_hits)))")
