@@ -92,9 +92,10 @@ def test_words_and_rolling():
 def test_exact(spark):
     rows = [(1, "a"), (5, "a"), (3, "A"), (4, None), (6, ""), (7, "a "), (None, "n"), (5, "a")]
     frame = spark.createDataFrame([(*r, b"x", 1) for r in rows], DOCS + ", digest binary, keep_id int")
-    out = {(r.id, bytes(r.digest)): r for r in exact.exact_groups(frame, exact.new_index(spark, 4)).collect()}
+    got = exact.exact_groups(frame, exact.new_index(spark, 4)).collect()
+    out = {(r.id, bytes(r.digest)): r for r in got}
     get = lambda i, t: out[i, hashlib.sha256(t.encode()).digest()]
-    assert len(out) == 7
+    assert len(got) == len(rows) and len(out) == 7 and sum(r.kept for r in got if r.id == 5) == 2
     assert (get(1, "a").keep_id, get(1, "a").group_size, get(1, "a").kept) == (5, 3, False)
     assert get(5, "a").kept and get(3, "A").kept and get(7, "a ").kept and get(None, "n").kept
     assert not get(4, "").kept and get(6, "").kept
@@ -112,6 +113,42 @@ def test_exact_index_is_kept(spark):
     assert [(r.doc_id, r.text) for r in exact.drop_copies(second, index).collect()] == [(10, "c")]
     again = exact.DigestIndex(spark, "unused", 4, index.name)
     assert again.rows().count() == 3
+    known = {r.id: (r.keep_id, r.known, r.kept) for r in exact.exact_groups(second, index).collect()}
+    assert known == {8: (2, True, False), 9: (10, True, False), 10: (10, True, False)}
+    again.forget()
+
+
+def test_exact_batches_run_again(spark):
+    """The even ids, then the rest; each batch again under its name, also after a part of its digests was lost."""
+    rows = [(i, f"text {i % 7} {i % 2 if i > 20 else ''}") for i in range(60)] + [(61, None), (62, ""), (61, None)]
+    frame = spark.createDataFrame(rows, DOCS)
+    index = exact.new_index(spark, 4)
+    parts = {"even": frame.where("doc_id % 2 = 0"), "odd": frame.where("doc_id % 2 = 1")}
+
+    def run(name):
+        return sorted(tuple(r) for r in exact.exact_groups(parts[name], index, batch=name).drop("tag").collect())
+
+    first = {name: run(name) for name in parts}
+    assert {name: run(name) for name in parts} == first and index.rows().count() == len({t or "" for _, t in rows})
+    seen, want = {}, {}
+    for name, part in parts.items():
+        own = {}
+        for r in part.collect():
+            own.setdefault(r.text or "", []).append(r.doc_id)
+        for text, ids in own.items():
+            for i in ids:
+                want.setdefault(name, []).append((i, seen.get(text, max(ids)), len(ids), text in seen, text not in seen and i == max(ids)))
+        seen |= {t: seen.get(t, max(ids)) for t, ids in own.items()}
+    assert {n: sorted(r[:5] for r in got) for n, got in first.items()} == {n: sorted(w) for n, w in want.items()}
+    kept = exact.drop_copies(parts["odd"], index, batch="odd")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r[0] for r in first["odd"] if r[4]})
+    index.forget()
+
+
+def test_columns_may_have_any_name(spark):
+    frame = spark.createDataFrame([(1, "a", 7, 8, 9), (2, "a", 7, 8, 9)], DOCS + ", __own int, __id int, __key int")
+    kept = exact.drop_copies(frame, exact.new_index(spark, 4))
+    assert kept.columns == frame.columns and [tuple(r) for r in kept.collect()] == [(2, "a", 7, 8, 9)]
 
 
 def simhash_brute(text, k):

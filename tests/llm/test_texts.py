@@ -94,6 +94,134 @@ def test_quality(spark):
     assert 0 <= out[9000].tail_prob <= 1 and out[9000].tail_prob == out[9001].tail_prob
 
 
+def test_language_threshold():
+    """Single wrong labels don't move the threshold; scores that are mostly wrong are rejected."""
+    score = np.linspace(1, 0.3, 700)
+    few = np.zeros(700, bool)
+    few[[100, 250, 419, 600]] = True
+    assert langid.threshold(score, few) == score[-1]
+    one = np.zeros(120, bool)
+    one[40] = True
+    assert langid.threshold(score[:120], one) == score[119]
+    low = np.zeros(700, bool)
+    low[500:] = np.arange(200) % 4 > 0
+    assert abs(langid.threshold(score, low) - score[499]) < 0.01
+    assert langid.threshold(score, np.ones(700, bool)) == 0.0
+    noisy = np.random.default_rng(1).random(700) < 0.2
+    assert langid.threshold(score, noisy) < score[650]
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """One id on all rows, and one text on many: neither swells nor starves what is learned from."""
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 100)
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(len(rows)))
+    rows = [(0, f"kalo mi{i}", "aa") for i in range(2000)] + [(9, "schung ber", "bb")] * 2000
+    langid.learn(spark.createDataFrame(rows, DOCS + ", lang string"))
+    assert 50 < seen[0] < 200
+
+
+def test_language_by_hand():
+    """Subwords, mean, softmax and temperature in plain Python."""
+    rng = np.random.default_rng(5)
+    model = langid.Model(["aa", "bb"], rng.normal(0, 1, (langid.BUCKETS, 2)).astype(np.float32), np.array([0.1, -0.2]), 1.7, 0.5)
+    m32 = (1 << 32) - 1
+
+    def buckets(text):
+        out = []
+        for word in re.findall(rb"[a-z\x80-\xff]+", text.lower()):
+            word = b" " + word + b" "
+            for i in range(len(word) - 2):
+                three = word[i] | word[i + 1] << 8 | word[i + 2] << 16
+                out.append((three * 0x9E3779B1 & m32) >> 17)
+                if i + 3 < len(word):
+                    h = ((three | word[i + 3] << 24) ^ 0x5BD1E995) * 0x85EBCA6B & m32
+                    h ^= h >> 13
+                    out.append((h * 0xC2B2AE35 & m32) >> 17)
+        return out
+
+    texts = [b"Kalo, mi!", "é ün".encode(), b"a", b"x1y2 zzz " * 40]
+    lang, score, rejected = model.predict(texts)
+    for k, text in enumerate(texts):
+        own = buckets(text)
+        z = [sum(float(model.logits[b, j]) for b in own) / len(own) + model.bias[j] for j in range(2)]
+        e = [np.exp(x / model.temperature) for x in z]
+        best = int(e[1] > e[0])
+        assert lang[k] == model.languages[best] and abs(score[k] - e[best] / sum(e)) < 1e-5 and rejected[k] == (score[k] < 0.5)
+
+
+def test_quality_by_hand():
+    """Features, score, expected grade, tail and likelihood in plain Python."""
+    rng = np.random.default_rng(6)
+    size = quality.BUCKETS
+    model = quality.Model(
+        rng.normal(0, 1, size).astype(np.float32), rng.uniform(0.5, 2, size).astype(np.float32), rng.normal(0, 1, quality.MEASURES),
+        rng.normal(0, 1, quality.MEASURES), rng.uniform(1, 2, quality.MEASURES), np.array([-0.5, 0.4, 1.5]), np.array([0, 2, 3, 10]),
+    )
+
+    def bucket(word, n=None):
+        words = quality.Words([word], quality._GAP, quality._FOLD)
+        return int((words.hashes() if n is None else words.prefixes(n)[1])[0] >> np.uint64(46))
+
+    def score(text):
+        raw = text.decode()
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", text.lower())
+        count = {}
+        for w in words:
+            for b in [bucket(w), *[bucket(w, n) for n in quality.BEGINNINGS if len(w) > n]]:
+                count[b] = count.get(b, 0) + 1
+        value = {b: np.log1p(c) * model.idf[b] for b, c in count.items()}
+        norm = sum(v * v for v in value.values()) ** 0.5
+        ascii_ = [c for c in raw if c < "\x80" and c > " "]
+        shares = [
+            sum(not c.isalnum() for c in ascii_), sum(c.isdigit() for c in ascii_), sum(c.isupper() for c in ascii_),
+        ]
+        n, length = len(words), len(text)
+        dense = [*[x / max(length, 1) for x in shares], len(set(words)) / max(n, 1), np.log1p(n), length / max(n, 1)]
+        z = [min(5, max(-5, (x - m) / s)) for x, m, s in zip(dense, model.mean, model.spread, strict=True)]
+        return sum(v * model.weights[b] for b, v in value.items()) / max(norm, 1e-9) + sum(a * b for a, b in zip(z, model.dense, strict=True))
+
+    texts = ["Good words, good 12 GRAMMAR!".encode(), b"", "été longueword longuewords".encode(), b"a b c a"]
+    assert np.allclose(model.score(texts), [score(t) for t in texts], atol=1e-5)
+    expected, tail = model.grades(texts, 3)
+    for k, t in enumerate(texts):
+        over = [1 / (1 + np.exp(-(score(t) - x))) for x in model.thresholds]
+        each = [1 - over[0], over[0] - over[1], over[1] - over[2], over[2]]
+        assert abs(sum(each) - 1) < 1e-9 and abs(expected[k] - sum(p * g for p, g in zip(each, model.levels, strict=True))) < 1e-4
+        assert abs(tail[k] - (each[2] + each[3])) < 1e-5
+
+
+def test_quality_of_stray_grades(spark):
+    rnd = random.Random(9)
+    rows = [(i, prose(rnd, "aa" if i % 2 else "bb", 30)) for i in range(300)]
+    frame = spark.createDataFrame(rows, DOCS)
+    rated = spark.createDataFrame([(i, 1_000_000 if i % 2 else 5) for i in range(300)], "doc_id long, grade long")
+    model = quality.learn(frame, rated)
+    assert len(model.thresholds) == 1 and model.levels.tolist() == [5, 1_000_000]
+    out = {r.id: r for r in quality.grade_documents(frame, model, 6).collect()}
+    assert np.mean([out[i].kept == bool(i % 2) for i in range(300)]) > 0.95 and all(5 <= r.expected_grade <= 1_000_000 for r in out.values())
+    with pytest.raises(ValueError, match="different grades"):
+        quality.learn(frame, spark.createDataFrame([(i, i) for i in range(300)], "doc_id long, grade long"))
+
+
+def test_tiling_of_signs_and_scripts(spark):
+    """Typographic signs and scripts without blanks don't hide a passage."""
+    plain = "the quick brown fox said it jumps over all the lazy dogs today"
+    han = "\u6625\u7720\u4e0d\u89c9\u6653\u5904\u5904\u95fb\u557c\u9e1f\u591c\u6765\u98ce\u96e8\u58f0"
+    docs = spark.createDataFrame(
+        [
+            (1, "x the quick\u00a0brown \u201cfox\u201d said\u2014it jumps over all the\u2026lazy dogs\u2019 today y"),
+            (2, "\u524d\u6587\u3002" + han + "\u3002\u540e\u6587"), (3, "\u6625 \u548c \u590f"), (4, "quick the fox brown"),
+        ],
+        DOCS,
+    )
+    items = spark.createDataFrame([(1, plain), (2, han)], "item_id long, text string")
+    for most in (8 << 20, 0):
+        hits = tiling.contaminated(docs, items, max_bytes=most).collect()
+        assert sorted((r.id, r.item_id, r.coverage) for r in hits) == [(1, 1, 1.0), (2, 2, 1.0)]
+    assert tiling._words(["e\u0301te\u0301 caf\u00e9".encode()]).first.tolist() == [0, 2]
+
+
 def test_quality_without_ratings(spark):
     frame = spark.createDataFrame([(1, "a")], DOCS)
     model = quality.learn(frame, spark.createDataFrame([], "doc_id long, grade long"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.keyfilter import key_filter
 from ..plans.staging import stage
 
 #: Words of the contracts: runs of anything but space and the ASCII controls 9 to 13.
@@ -95,3 +96,16 @@ def bit_filter(keys: DataFrame, column: str, max_bits: int = MAX_FILTER_BITS) ->
 def shared(spark: SparkSession, value):
     """A broadcast variable of a value whose size is bounded by the caller."""
     return spark.sparkContext.broadcast(value)
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame, same: Column) -> DataFrame:
+    """``docs`` without the rows that ``same`` finds in ``gone``, a staged table with their 64-bit keys as ``__key``.
+
+    ``key`` is the key of a document. Documents whose key the bit filter of ``gone`` doesn't know stay where they are;
+    only the others, those that go and a few more, meet the table in a join.
+    """
+    known = key_filter(gone, "__key", least=1)
+    if known.bits is None:  # nothing goes, or too many for a filter
+        return docs.join(gone, same, "left_anti")
+    asked = docs.where(known.passes(key)).join(gone, same, "left_anti")
+    return docs.where(~known.passes(key)).unionByName(asked)

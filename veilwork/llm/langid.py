@@ -3,14 +3,16 @@
 A text is folded to lower-case words; the subwords are the byte 3-grams and 4-grams of its words with their
 borders, hashed to ``BUCKETS`` embeddings. The mean embedding of all subwords goes through a linear softmax.
 Embeddings and softmax are trained together by stochastic gradient descent in numpy, on about
-``PER_LANGUAGE`` documents of each language (drawn by a seeded hash; this is the bound of the sample). A fifth
-of the sample is set aside: it gives the temperature of the scores and the rejection threshold, the smallest
-score from which on at most ``ERROR`` of the accepted documents are wrong, at least one half.
+``PER_LANGUAGE`` documents of each language (drawn by a seeded hash of id and text, equal texts once; this is the bound
+of the sample). A fifth of the sample is set aside: it gives the temperature of the scores and the rejection threshold.
+Scores are calibrated by isotonic regression of right and wrong predictions, which pools neighbouring scores, so that
+single wrong labels move nothing; rejected are the scores at which a prediction is right in fewer than ``ACCEPT`` of
+the cases, and those under one half.
 
 Mean and softmax are linear up to the end, so a model is one small table of logits per bucket and language;
 that is what executors get. Whole texts are predicted where they are read, nothing is shuffled.
 
-Defined cases: null text and texts without a letter give ``und`` with score 0, rejected. Without any labelled
+Defined cases: texts of any length are predicted whole; null text and texts without a letter give ``und`` with score 0, rejected. Without any labelled
 document all texts are ``und``. A null language never teaches. Rows with equal ids are judged each for
 itself. Other columns are ignored by ``identify`` and pass through ``drop_rejected`` unchanged.
 """
@@ -25,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, shared, utf8
+from ..plans.staging import stage
+from .common import batch_of, shared, utf8, without
 from .words import batches
 
 BUCKETS, DIM = 1 << 15, 8
 #: Documents of each language that are learned from, about (bound of the training sample).
 PER_LANGUAGE = 700
-ERROR = 0.005
+#: Share of right predictions below which a score is rejected.
+ACCEPT = 0.5
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: Bytes of text that are predicted at once.
 TEXT_BYTES = 1 << 20
@@ -137,10 +141,25 @@ def train(rows: list[tuple[str, int, np.ndarray, np.ndarray]]) -> Model:
     temperature = float(heat[int(np.argmin(loss))])
     p = _softmax(z / temperature)
     score, wrong = p.max(axis=1), p.argmax(axis=1) != truth
+    return Model(languages, logits.astype(np.float32), bias, temperature, max(0.5, threshold(score, wrong)))
+
+
+def threshold(score: np.ndarray, wrong: np.ndarray, accept: float = ACCEPT) -> float:
+    """Smallest score that is right often enough, by isotonic regression; 0 if no score is (the labels then say nothing)."""
     order = np.argsort(-score, kind="stable")
-    ok = np.cumsum(wrong[order]) <= ERROR * np.arange(1, len(held) + 1)
-    threshold = float(score[order][np.flatnonzero(ok)[-1]]) if ok.any() else 1.0
-    return Model(languages, logits.astype(np.float32), bias, temperature, 0.5 if ok[-1] else max(0.5, threshold))
+    blocks: list[list[float]] = []  # right ones and size of each pool, the share falls from pool to pool
+    for ok in ~wrong[order]:
+        blocks.append([float(ok), 1.0])
+        while len(blocks) > 1 and blocks[-1][0] * blocks[-2][1] >= blocks[-2][0] * blocks[-1][1]:
+            right, size = blocks.pop()
+            blocks[-1][0] += right
+            blocks[-1][1] += size
+    taken = 0
+    for right, size in blocks:
+        if right < accept * size:
+            break
+        taken += int(size)
+    return float(score[order][taken - 1]) if taken else 0.0
 
 
 def held_out(id_: Column) -> Column:
@@ -156,9 +175,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not counts:
         return train([])
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, PER_LANGUAGE / n))])
-    draw = F.xxhash64(F.lit(SEED), F.col("id"))
+    draw = F.xxhash64(F.lit(SEED), F.col("id"), F.col("text"))
     uniform = F.pmod(draw, F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where("text is not null").where(uniform < share[F.col("lang")]).select("lang", F.pmod(F.shiftright(draw, 24), F.lit(5)).alias("part"), "text")
+    sample = rows.where("text is not null").where(uniform < share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    sample = sample.select("lang", F.pmod(F.shiftright(draw, 24), F.lit(5)).alias("part"), "text")
 
     def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
@@ -203,6 +223,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose language is known well enough, with all their columns."""
     out = identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col).where("rejected")
-    gone = out.select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__tag"])
-    return docs.join(gone, same, "left_anti")
+    key = F.xxhash64("id", "tag").alias("__key")
+    gone = stage(out.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), key).distinct(), "llm-rejected")
+    id_, tag = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    return without(docs, F.xxhash64(id_, tag), gone, id_.eqNullSafe(gone["__id"]) & (tag == gone["__tag"]))

@@ -3,7 +3,8 @@
 One weight vector over hashed words and word beginnings (and a few measures of the whole text) gives a score ``s``; ordered
 thresholds turn it into ``P(grade <= k) = sigmoid(threshold_k - s)``. All grades share the weights, so a rated
 document teaches every step of the scale. The expected grade and the tail probability of reaching a grade are
-what documents are selected by.
+what documents are selected by. Grades are any whole numbers from 0, ``MOST_GRADES`` different ones at most; they are
+ranked for the fit, and expected grades are on their own scale.
 
 The model is fitted by Adam in numpy on about ``RATED_DOCS`` rated documents, drawn by a seeded hash (the bound
 of the sample; their hashed counts, not their texts, go to the driver). The rest is one scan over whole texts
@@ -11,7 +12,8 @@ with a weight table of fixed size; nothing is shuffled.
 
 Defined cases: null text is empty and scored like any other text. A document rated several times has its lowest
 grade. Null ratings and ratings of unknown documents teach nothing; without ratings every document has expected
-grade 0 and is not kept. Rows with equal ids are scored each for itself. Other columns are ignored.
+grade 0 and is not kept, and with one grade alone every document has that grade. Rows with equal ids are scored each
+for itself, texts of any length whole. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .words import Words, batches
 BUCKETS = 1 << 18
 #: Rated documents that are learned from, at most about (bound of the training sample).
 RATED_DOCS = 6_000
+#: Different grades that a scale may have.
+MOST_GRADES = 50
 EPOCHS, RATE, DECAY, SEED = 25, 0.1, 1e-5, 11
 TEXT_BYTES = 1 << 20
 MEASURES = 6
@@ -84,6 +88,7 @@ class Model:
     mean: np.ndarray
     spread: np.ndarray
     thresholds: np.ndarray
+    levels: np.ndarray  # the grades in order
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         doc, bucket, count, measures = features(texts)
@@ -96,22 +101,26 @@ class Model:
     def grades(self, texts: list[bytes], tail: int) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade, and probability of grade ``tail`` or more."""
         if not len(self.thresholds):
-            return np.zeros(len(texts)), np.zeros(len(texts))
+            only = self.levels[0] if len(self.levels) else 0
+            return np.full(len(texts), float(only)), np.full(len(texts), float(len(self.levels) > 0 and only >= tail))
         over = _sigmoid(self.score(texts)[:, None] - self.thresholds[None, :])
-        at = min(max(tail, 1), over.shape[1]) - 1
-        return over.sum(axis=1), over[:, at]
+        at = min(max(int(np.searchsorted(self.levels, tail)), 1), over.shape[1]) - 1
+        return self.levels[0] + over @ np.diff(self.levels), over[:, at]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(grade: np.ndarray, start: np.ndarray, bucket: np.ndarray, count: np.ndarray, measures: np.ndarray, top: int) -> Model:
-    """Fit on rows ``bucket[start[i]:start[i + 1]]``; grades are 0 … ``top``."""
+def train(
+    grade: np.ndarray, start: np.ndarray, bucket: np.ndarray, count: np.ndarray, measures: np.ndarray, top: int, levels=None
+) -> Model:
+    """Fit on rows ``bucket[start[i]:start[i + 1]]``; grades are ranks 0 … ``top`` of ``levels``."""
     n = len(grade)
     zero = np.zeros(MEASURES)
+    levels = np.arange(top + 1) if levels is None else np.asarray(levels)
     if not n or top < 1:
-        return Model(np.zeros(BUCKETS, np.float32), np.ones(BUCKETS, np.float32), zero, zero, zero + 1, np.zeros(0))
+        return Model(np.zeros(BUCKETS, np.float32), np.ones(BUCKETS, np.float32), zero, zero, zero + 1, np.zeros(0), levels if n else np.zeros(0))
     seen = np.bincount(bucket, minlength=BUCKETS)
     idf = np.where(seen < LEAST_SEEN, 0, np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
     value = (np.log1p(count) * idf[bucket]).astype(np.float32)
@@ -160,16 +169,21 @@ def train(grade: np.ndarray, start: np.ndarray, bucket: np.ndarray, count: np.nd
                 second[j] = 0.999 * second[j] + 0.001 * grads[j] ** 2
                 params[j] -= rate * (first[j] / fix1) / (np.sqrt(second[j] / fix2) + 1e-8)
     theta = low[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-    return Model(w.astype(np.float32), idf, dense, mean, spread, theta)
+    return Model(w.astype(np.float32), idf, dense, mean, spread, theta, levels)
 
 
 def learn(
     docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade",
 ) -> Model:
-    """Fit on ``ratings(id, grade)`` of the documents; grades are whole numbers from 0."""
+    """Fit on ``ratings(id, grade)`` of the documents; more than ``MOST_GRADES`` different grades raise ``ValueError``."""
     rated = ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("long").alias("grade"))
     rated = rated.where("id is not null and grade >= 0").groupBy("id").agg(F.min("grade").alias("grade"))
-    known = rated.agg(F.count("*").alias("n"), F.max("grade").alias("top")).first()
+    levels = sorted(r["grade"] for r in rated.select("grade").distinct().limit(MOST_GRADES + 1).collect())
+    if len(levels) > MOST_GRADES:
+        raise ValueError(f"more than {MOST_GRADES} different grades: no graded scale")
+    known = rated.agg(F.count("*").alias("n")).first()
+    rank = F.array_position(F.array(*[F.lit(x).cast("long") for x in levels] or [F.lit(0).cast("long")]), F.col("grade")) - 1
+    rated = rated.withColumn("grade", rank)
     drawn = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, RATED_DOCS / max(known["n"], 1)))
     sample = F.broadcast(rated.where(drawn))  # about RATED_DOCS rows of 16 bytes at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -197,14 +211,14 @@ def learn(
     order = np.lexsort((*measures.T, total, size, grade))
     at = np.concatenate([np.arange(start[i], start[i + 1]) for i in order])
     begin = np.concatenate(([0], np.cumsum(size[order])))
-    return train(grade[order], begin, flat[at].astype(np.int64), counts[at], measures[order], int(known["top"]))
+    return train(grade[order], begin, flat[at].astype(np.int64), counts[at], measures[order], len(levels) - 1, levels)
 
 
 def grade_documents(
     docs: DataFrame, model: Model, tail: int, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``id, expected_grade, tail_prob, kept``: kept if grade ``tail`` is reached with probability ``least``."""
-    sent = shared(docs.sparkSession, (model.weights, model.idf, model.dense, model.mean, model.spread, model.thresholds))
+    sent = shared(docs.sparkSession, (model.weights, model.idf, model.dense, model.mean, model.spread, model.thresholds, model.levels))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

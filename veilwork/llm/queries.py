@@ -107,12 +107,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     with d as (select doc_id, coalesce(text, '') as text from documents),
     g as (select text, max(doc_id) as keep_id, count(*) as group_size from d group by text)
-    select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(text) as text_sha256
+    select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(text) as text_sha256
     from d join g using (text)
     """,
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_groups(table(spark, sf_dir, "documents"), new_index(spark))
+    index = new_index(spark)
+    out = exact_groups(table(spark, sf_dir, "documents"), index)
+    index.forget()
     return out.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )

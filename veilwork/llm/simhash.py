@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from .common import batch_of, utf8
+from .common import batch_of, utf8, without
 
 HASH_SEED = 42
 #: Fingerprints of a unit of work before it is split.
@@ -295,9 +295,10 @@ def drop_near_copies(
 ) -> DataFrame:
     """One document of each group (the one with the smallest id), with all its columns."""
     groups = stage(near_groups(docs, shingle, max_bits, id_col, text_col), "llm-near")
-    kept = groups.where("stays").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"))
-    text = docs[text_col].cast("string")
-    out = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__id"]) & (F.xxhash64(text) == kept["__tag"]), "left_semi")
-    if kept.groupBy("__id", "__tag").count().where("count > 1").limit(1).count():
+    key = F.xxhash64("id", "tag").alias("__key")
+    gone = stage(groups.where("not stays").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), key).distinct(), "llm-near-gone")
+    id_, tag = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    out = without(docs, F.xxhash64(id_, tag), gone, id_.eqNullSafe(gone["__id"]) & (tag == gone["__tag"]))
+    if groups.where("stays").groupBy("id", "tag").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates([id_col, text_col])
     return out

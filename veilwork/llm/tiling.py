@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are compared as lower-case words of letters and digits. A document and a benchmark item become a pair if
+Texts are compared as lower-case words of letters, marks and digits of any script; typographic quotes, dashes and blanks
+part words like ASCII signs do, and scripts without blanks between words are cut into characters. A document and a benchmark item become a pair if
 they share a seed of ``SEED_WORDS`` words (shorter items: the whole item). Each pair is tiled: for falling
 search lengths, windows of unmarked words are compared by running Karp-Rabin hashes, equal windows are
 lengthened word by word, and the longest matches are marked first, so that tiles never overlap on either side.
@@ -11,7 +12,7 @@ Seeds of a benchmark within ``max_bytes`` go to all executors, and documents are
 nothing is shuffled. A larger benchmark is joined with the documents' distinct seeds; pairs that share too few
 seeds for the threshold are dropped by an exact count, and only the rest is tiled. Both ways give the same rows.
 
-Defined cases: null texts are empty; empty items match nothing; items that occur several times give a row each;
+Defined cases: null texts are empty, texts of any length are tiled whole; empty items match nothing; items that occur several times give a row each;
 documents with equal ids are judged each for itself (``tag`` is a hash of the text). Empty tables give an empty
 result. Other columns are ignored by ``contaminated`` and pass through ``drop_contaminated`` unchanged.
 """
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from .common import batch_of, shared, utf8
+from .common import batch_of, shared, utf8, without
 from .words import Rolling, Words, batches
 
 SEED_WORDS = 5
@@ -48,8 +50,24 @@ _HITS_DDL = "id long, tag long, item_id long, coverage double, tiles long, words
 _SEEDS = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("size", pa.int32()), ("seed", pa.int64())])
 
 
+# characters beyond ASCII that aren't plain accented Latin letters: only texts with some need the slower cut
+_OTHER = regex.compile(r"[\u0080-\u00BF\u00D7\u00F7\u0250-\U0010FFFF]")
+_SIGNS = regex.compile(r"[^\p{L}\p{M}\p{N}\x00-\x7F]+")
+_UNSPACED = regex.compile(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)")
+
+
+def _folded(text: bytes) -> bytes:
+    """Lower case, with blanks for signs beyond ASCII and around the characters of scripts without blanks."""
+    if text.isascii():
+        return text.lower()
+    low = text.decode().lower()
+    if _OTHER.search(low):
+        low = _UNSPACED.sub(r" \1 ", _SIGNS.sub(" ", low))
+    return low.encode()
+
+
 def _words(texts: list[bytes]) -> Words:
-    return Words([t.decode().lower().encode() for t in texts], _GAP, _FOLD)
+    return Words([_folded(t) for t in texts], _GAP, _FOLD)
 
 
 def tile(doc: np.ndarray, starts: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -265,6 +283,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The documents that cover no item, with all their columns."""
     hits = contaminated(docs, benchmark, least, id_col, text_col)
-    gone = hits.select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__tag"])
-    return docs.join(gone, same, "left_anti")
+    key = F.xxhash64("id", "tag").alias("__key")
+    gone = stage(hits.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), key).distinct(), "llm-contaminated")
+    id_, tag = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    return without(docs, F.xxhash64(id_, tag), gone, id_.eqNullSafe(gone["__id"]) & (tag == gone["__tag"]))
