@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm import exact, langid, mixing, queries, simhash, tiling
-from veilwork.plans.staging import stage, stage_root
+from veilwork.plans.staging import run_folder, stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, keep the document with the largest id."""
-    return exact.drop_copies(docs, exact.new_index(spark))
+    index = exact.new_index(spark)
+    kept = exact.drop_copies(docs, index)
+    index.forget()
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        path = f"{stage_root(spark)}/veilwork/pipeline-{name}-{uuid.uuid4().hex}"
+        path = f"{run_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
