@@ -1,5 +1,7 @@
 """Registration, rewriting, restoring, state, columns and streams."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from veilwork.operators.detect import detect, pick_rules
 from veilwork.operators.dictionary import candidate_entries, hit_rows
 from veilwork.operators.entities import merge_entities
 from veilwork.operators.registry import empty_case, number_tokens, open_at_rest, protect_at_rest, register
-from veilwork.operators.rewrite import anonymize, anonymize_corpus, deanonymize
+from veilwork.operators.rewrite import anonymize, anonymize_corpus, deanonymize, find_spans
 from veilwork.plans import clear_stages, lookup_join, sequence_table, stage, with_dense_number, with_group_number
 from veilwork.operators.spans import span_rows
 from veilwork.sources.corpus import list_files, read_corpus, read_table, read_values, write_bucketed_corpus
@@ -18,7 +20,8 @@ from veilwork.sources import jobs
 from veilwork.sources.files import write_files
 from veilwork.sources.jobs import anonymize_files, anonymize_folder, restore_files, restore_folder
 from veilwork.sources.state import commit_state, load_state
-from veilwork.streaming.incremental import anonymize_stream
+from veilwork.streaming.incremental import anonymize_batch, anonymize_stream, read_state
+from veilwork.streaming.lookup import BatchState, KeyTable
 
 TEXTS = [
     "Accepted for john.doe from 10.0.0.5, mail john.doe@example.org",
@@ -184,6 +187,52 @@ def test_stream(spark, tmp_path):
     assert text["2"] == "mail ANONEMAIL002 and ANONEMAIL004, (ANONEMAIL004)"
 
 
+def test_batches_like_whole_registries(spark, tmp_path):
+    """Values, links, numbers and rewriting of batches that look up keys, against jobs on the whole registry; retries too."""
+    texts = [
+        "mail jan.peeters@example.org", "Accepted for jan.peeters from 10.0.0.9", "user Jan.Peeters and JAN.PEETERS@example.org, 5 kim.li@example.org",
+        "nothing here", "for kim.li from 10.0.0.1 and jan.peeters@example.org", "operator: new.one, mail Kim.li@example.org, +1 (555) 000-0167",
+        "for new.one from 10.0.0.1: Jan.peeters@example.org; \u00e9 password=Geheim77!",
+    ]
+    schema = "doc_id string, ord bigint, path string, text string"
+    registry, want = empty_case(spark)["registry"], {}
+    for n in range(4):
+        rows = [(str(i), i, f"p{i}", texts[i % 7] if i < 7 else f"{texts[i % 7]} no{i}@example.org") for i in range(2 * n, 2 * n + 3)]
+        docs = spark.createDataFrame(rows, schema)
+        anonymize_batch(docs, n, str(tmp_path / "state"), str(tmp_path / "out"), "c")
+        if n == 2:  # a batch that was lost after its commit is run again
+            anonymize_batch(docs, n, str(tmp_path / "state"), str(tmp_path / "out"), "c")
+        fresh = docs.where(~F.col("path").isin(sorted(want) or [""]))
+        rewritten, registry = anonymize_corpus(fresh, find_spans(fresh, "c"), registry, "c")
+        registry = stage(registry, "whole")
+        want |= {r.path: (r.text, r.n_hits) for r in rewritten.collect()}
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == len(want) == 9 and {r.path: (r.text, r.n_hits) for r in got} == want
+    state = read_state(spark, str(tmp_path / "state" / "registry"), registry._jdf.schema().toDDL())
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, registry.collect()))
+
+
+def test_lookups_stay_flat(spark, tmp_path):
+    """The files that a few keys make a batch read don't grow with the table; retries and merges lose nothing."""
+    state, live, rows, sizes = BatchState(spark, str(tmp_path)), [], 0, {}
+    for n in range(20):
+        new = spark.range(rows, rows + 2000).selectExpr("xxhash64(id) as h", "id as v")
+        table = KeyTable(state, "t", "v bigint", live, bucket_rows=500)
+        table.add(new, n)
+        live, rows = KeyTable(state, "t", "v bigint", live, bucket_rows=500).add(new, n), rows + 2000
+        if n in (4, 19):
+            table = KeyTable(state, "t", "v bigint", live, bucket_rows=500)
+            keys = stage(spark.range(0, 5).selectExpr("xxhash64(id * 300) as h"), "keys")
+            assert sorted(r.v for r in table.find(keys).collect()) == [0, 300, 600, 900, 1200]
+            sizes[n] = sum(f.stat().st_size for p in table.paths(keys) for f in Path(p.removeprefix("file:")).glob("*.parquet"))
+    assert len(live) <= 9 and sizes[19] <= 2 * sizes[4]
+    whole = KeyTable(state, "t", "v bigint", live).find(stage(spark.range(rows).selectExpr("xxhash64(id) as h"), "keys"))
+    assert whole.count() == whole.distinct().count() == rows
+    state.commit(3, {"a": 1})
+    state.commit(3, {"a": 2})
+    assert state.before(3) == {} and state.before(9) == {"a": 2}
+
+
 def test_manual_links(spark):
     registry = spark.createDataFrame(
         [("c", i, f"P{i}", "name", f"v{i}", f"T{i}", i, "") for i in range(1, 6)], empty_case(spark)["registry"].schema

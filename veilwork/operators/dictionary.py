@@ -42,6 +42,12 @@ def _parts(docs: DataFrame, keep: list[str]) -> DataFrame:
     return marked.selectExpr(*keep, f"{marked_parts('text', q(f'()({WORD})()'), '_mark')} as p")
 
 
+def entry_keys(entries: DataFrame) -> DataFrame:
+    """``variant, _key``: the key under which ``entry_anchors`` puts each entry of these."""
+    anchors = entry_anchors(entries.select("variant", F.lit("").alias("_none")), "_none")
+    return anchors.selectExpr("concat(lead, core, tail) as variant", "_key")
+
+
 def entry_anchors(entries: DataFrame, payload: str) -> DataFrame:
     """``entries(variant, payload)`` with the one key under which a document finds them, and its place ``r`` in the entry.
 
@@ -123,6 +129,13 @@ def candidate_entries(docs: DataFrame, entries: DataFrame, payload: str, words:
     return found.unionByName(runs.selectExpr("doc_id", "i as f", *columns, "o - r as o", payload).where("o >= 0"))
 
 
+def text_keys(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """``_key``: all distinct keys under which entries may be found in the documents; ``sizes`` as of ``wordless_sizes``."""
+    every = KeyFilter(None)
+    words = _word_places(docs, every, "true").select("_key")
+    return (words.unionByName(_run_places(docs, every, sizes).select("_key")) if sizes else words).distinct()
+
+
 #: A hit spans from offset ``os`` of gap ``gs`` to offset ``oe`` of gap ``ge``. Its fields are in the order of choice:
 #: what starts first, then what ends last.
 _LEAD = "if(x.k > 0, length(get(p, 2 * x.f)) - length(x.lead), x.o)"

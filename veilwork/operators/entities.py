@@ -110,7 +110,8 @@ def new_person_ids(values: DataFrame, roots: DataFrame, known: DataFrame) -> Dat
     ``values`` carry their place in the order (``part``, ``loc``), so new persons are numbered in the
     order of their first value without another sort.
     """
-    known_roots = known.selectExpr("mapping_id as root_id", "entity_id as _known")
+    # rows without a value only carry the highest numbers
+    known_roots = known.where("raw_value is not null").selectExpr("mapping_id as root_id", "entity_id as _known")
     rooted = values.join(roots, "mapping_id", "left").withColumn("root_id", F.coalesce("root_id", "mapping_id"))
     rooted = rooted.join(known_roots, "root_id", "left")
     last = known.agg(

@@ -112,14 +112,22 @@ def create_entities(registry: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.unionByName(fresh)
 
 
-def replacement_entries(registry: DataFrame, case_id: str) -> DataFrame:
-    """``(variant, token)``: each value and its second spelling; a later mapping wins a shared spelling."""
+def spellings(registry: DataFrame, case_id: str) -> DataFrame:
+    """``(token, entity_id, pii_type, mapping_id, variant, is_second)``: each value and its second spelling."""
     known = registry.where(F.col("case_id") == case_id)
-    variants = known.selectExpr(
+    return known.selectExpr(
         "token", "entity_id", "pii_type", "mapping_id",
         f"inline(array(struct(raw_value as variant, 0 as is_second), "
         f"struct({case_variant('raw_value')} as variant, 1 as is_second)))",
     ).where("variant is not null")
+
+
+def replacement_entries(registry: DataFrame, case_id: str) -> DataFrame:
+    """``(variant, token)``: each value and its second spelling; a later mapping wins a shared spelling."""
+    return last_spellings(spellings(registry, case_id))
+
+
+def last_spellings(variants: DataFrame) -> DataFrame:
     last = F.max(F.struct("entity_id", "pii_type", "mapping_id", "is_second", "token")).alias("w")
     return variants.groupBy("variant").agg(last).selectExpr("variant", "w.token as token")
 
