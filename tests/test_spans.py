@@ -48,6 +48,28 @@ def test_overlaps_like_brute_force(spark):
         assert sorted((r.start, r.end, r.confidence, r.det_ord) for r in got if r.doc_id == doc) == spans
 
 
+def test_large_islands(spark):
+    """Clusters of thousands of spans that all hang together: chains of equal ones, and mixed lengths."""
+    rng = random.Random(11)
+    chain = [(3 * i, 3 * i + 4, 0.9, i) for i in range(20_000)]
+    mixed = {(s, s + rng.choice([2, 3, 5, 40, 900]), rng.choice([0.7, 0.9]), i) for i, s in enumerate(rng.choices(range(4000), k=3000))}
+    rows = [(1, *s) for s in chain] + [(2, *s) for s in mixed]
+    df = spark.createDataFrame(rows, "doc_id long, start int, end int, confidence double, det_ord int")
+    got = resolve_overlaps(df.withColumn("rule_ord", F.lit(0))).collect()
+    for doc, spans in ((1, chain), (2, mixed)):
+        assert sorted((r.start, r.end, r.confidence, r.det_ord) for r in got if r.doc_id == doc) == greedy(spans)
+
+
+def test_dictionary_hits_in_a_long_document(spark, corpus):
+    """A document with 100,000 candidates of a large dictionary, which is tested against a bit filter first."""
+    entries = [(f"name{i} sur{i % 7}", f"E{i}") for i in range(12_000)]
+    text = " ".join(f"{entries[i % 15_000][0] if i % 15_000 < 12_000 else 'other word'}{',' if i % 3 else ''}" for i in range(100_000))
+    got = hit_rows(corpus([text]), spark.createDataFrame(entries, "variant string, name string"), "name")
+    want = sum(1 for i in range(100_000) if i % 15_000 < 12_000)
+    row = got.selectExpr("count(*) as n", "count(distinct start) as starts", "sum(int(substring(name, 2) = regexp_extract(raw_value, 'name([0-9]+)', 1))) as same").first()
+    assert (row.n, row.starts, row.same) == (want, want, want)
+
+
 def brute_hits(text, variants):
     out, i = [], 0
     word = re.compile("[A-Za-z0-9_]")

@@ -35,23 +35,33 @@ def marked_parts(text: str, pattern: str, mark: str) -> str:
     return f"split(regexp_replace({text}, {pattern}, concat('$1', {mark}, '$2', {mark}, '$3')), {mark})"
 
 
-def _running(lengths: str) -> str:
+def _running(values: str, kind: str = "int", step: str = "acc.s + x") -> str:
     return (
-        f"aggregate({lengths}, named_struct('s', 0, 'a', cast(array() as array<int>)), "
-        "(acc, x) -> named_struct('s', acc.s + x, 'a', concat(acc.a, array(acc.s + x)))).a"
+        f"aggregate({values}, named_struct('s', cast(0 as {kind}), 'a', cast(array() as array<{kind}>)), "
+        f"(acc, x) -> named_struct('s', {step}, 'a', concat(acc.a, array({step})))).a"
     )
 
 
-def running_sum(arr: str) -> str:
-    """Running sum of an int array, in blocks so that long arrays stay near linear."""
+def _blockwise(arr: str, kind: str, step: str, join: str) -> str:
+    """Running values of an array in blocks, so that long arrays stay near linear (an accumulated array is copied)."""
     blocks = (
         f"transform(sequence(0, cast(ceil(size({arr}) / {_BLOCK}) as int) - 1), "
-        f"b -> {_running(f'slice({arr}, b * {_BLOCK} + 1, {_BLOCK})')})"
+        f"b -> {_running(f'slice({arr}, b * {_BLOCK} + 1, {_BLOCK})', kind, step)})"
     )
-    offsets = _running("transform(bs, blk -> element_at(blk, -1))")
-    joined = "flatten(transform(bs, (blk, b) -> transform(blk, x -> x + if(b = 0, 0, get(offs, b - 1)))))"
+    offsets = _running("transform(bs, blk -> element_at(blk, -1))", kind, step)
+    joined = f"flatten(transform(bs, (blk, b) -> transform(blk, x -> if(b = 0, x, {join.format(x='x', y='get(offs, b - 1)')}))))"
     blocked = f"get(transform(array({blocks}), bs -> get(transform(array({offsets}), offs -> {joined}), 0)), 0)"
-    return f"if(size({arr}) <= {_BLOCK}, {_running(arr)}, {blocked})"
+    return f"if(size({arr}) <= {_BLOCK}, {_running(arr, kind, step)}, {blocked})"
+
+
+def running_sum(arr: str) -> str:
+    """Running sum of an int array."""
+    return _blockwise(arr, "int", "acc.s + x", "{x} + {y}")
+
+
+def running_max(arr: str) -> str:
+    """Running maximum of an array of longs above 0."""
+    return _blockwise(arr, "bigint", "greatest(acc.s, x)", "greatest({x}, {y})")
 
 
 def value_ends(parts: str) -> str:

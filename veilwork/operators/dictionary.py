@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import marked_parts, q, value_ends
+from ..functions.text import marked_parts, q, running_max, value_ends
 from ..plans.keyfilter import KeyFilter, key_filter
 from ..plans.staging import stage
 from .spans import with_mark
@@ -28,7 +28,6 @@ WORD = "[A-Za-z0-9_]+"
 RUN = 6
 #: Pieces that surely hold 50 characters (a word and the gap before it have one at least), and context around a hit.
 _CTX_PIECES, _LEFT, _RIGHT = 101, 50, 20
-_BLOCK = 64
 
 
 def wordless_runs(text: str, n: int) -> str:
@@ -151,17 +150,28 @@ _TRUE = (
 )
 
 
+def _place(gap: str, offset: str) -> str:
+    return f"(shiftleft(cast({gap} as bigint), 32) + {offset})"
+
+
 def _leftmost(hits: str) -> str:
-    """Hits in order that start where the one taken before has ended, collected in blocks to stay near linear."""
-    none = f"filter({hits}, x -> false)"
+    """Hits in order that start where the one taken before has ended.
+
+    Hits that overlap hang together in islands, cut where all earlier hits have ended; the choice runs inside them.
+    """
+    start, end = _place("{x}.gs", "{x}.os"), _place("-{x}.ge", "-{x}.oe")
+    reach = f"get(transform(array(transform({hits}, x -> {end.format(x='x')})), e -> {running_max('e')}), 0)"
+    cuts = f"filter(sequence(0, size({hits}) - 1), i -> i = 0 or {start.format(x=f'get({hits}, i)')} >= get(reach, i - 1))"
     fold = (
-        f"aggregate({hits}, named_struct('ge', 0, 'oe', 0, 'cur', {none}, 'done', filter(array({none}), y -> false)), (a, x) -> "
-        f"if(x.gs < a.ge or x.gs = a.ge and x.os < a.oe, a, named_struct('ge', -x.ge, 'oe', -x.oe, "
-        f"'cur', if(size(a.cur) < {_BLOCK}, concat(a.cur, array(x)), array(x)), "
-        f"'done', if(size(a.cur) < {_BLOCK}, a.done, concat(a.done, array(a.cur))))), "
-        "a -> concat(flatten(a.done), a.cur))"
+        f"aggregate(one, named_struct('e', 0L, 'a', filter(one, x -> false)), (a, x) -> if({start.format(x='x')} < a.e, a, "
+        f"named_struct('e', {end.format(x='x')}, 'a', concat(a.a, array(x)))), a -> a.a)"
     )
-    return f"if(size({hits}) = 1, {hits}, {fold})"
+    island = f"slice({hits}, c + 1, coalesce(get(cuts, j + 1), size({hits})) - c)"
+    chosen = f"get(transform(array({island}), one -> if(size(one) = 1, one, {fold})), 0)"
+    islands = f"flatten(transform(cuts, (c, j) -> {chosen}))"
+    apart = f"not exists(sequence(1, size({hits}) - 1), i -> {start.format(x=f'get({hits}, i)')} < {end.format(x=f'get({hits}, i - 1)')})"
+    whole = f"get(transform(array({reach}), reach -> get(transform(array({cuts}), cuts -> {islands}), 0)), 0)"
+    return f"if(size({hits}) <= 1, {hits}, if({apart}, {hits}, {whole}))"
 
 
 def chosen_hits(
@@ -177,7 +187,7 @@ def chosen_hits(
     joined = docs.join(stage(found, "candidates"), "doc_id", how)
     marked = with_mark(joined, [*keep, "c"])
     cut = marked.selectExpr(*keep, "text", "c", f"if(c is null, null, {marked_parts('text', q(f'()({WORD})()'), '_mark')}) as p")
-    hits = f"if(c is null, null, array_sort(transform(filter(c, x -> {_TRUE}), x -> {_HIT})))"
+    hits = f"if(c is null, null, sort_array(transform(filter(c, x -> {_TRUE}), x -> {_HIT})))"
     return cut.selectExpr(*keep, "text", "p", f"{hits} as h").selectExpr(*keep, "text", "p", f"if(h is null, null, {_leftmost('h')}) as h")
 
 

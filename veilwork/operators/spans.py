@@ -19,6 +19,8 @@ _LEFT, _RIGHT = 50, 20
 
 
 _LONG_RUN = "[A-Za-z0-9+/]{32}"
+#: Overlapping spans up to which all are compared with all accepted ones.
+_SMALL_ISLAND = 256
 
 
 def _parts_if_found(rule: Rule, text: str, mark: str) -> str:
@@ -95,7 +97,11 @@ def with_islands(spans: DataFrame, by: list[str], pii: str = "true") -> DataFram
 
 
 def _greedy(spans: str, priority: list[str], clash: str) -> str:
-    """SQL: the spans of an array accepted by ``priority`` unless they ``clash`` with an accepted one."""
+    """SQL: the spans of an array accepted by ``priority`` unless they ``clash`` with an accepted one.
+
+    A large array is laid out in about as many cells of text as the root of its size. Spans that clash overlap, so
+    they share a cell, and a span is compared with the accepted spans of its own cells only.
+    """
     key = ", ".join(f"'k{i}', {p}" for i, p in enumerate(priority))
     ranked = (
         f"transform(array_sort(transform({spans}, s -> named_struct('k', named_struct({key}), 's', s))), x -> x.s)"
@@ -104,7 +110,21 @@ def _greedy(spans: str, priority: list[str], clash: str) -> str:
         "aggregate(r, filter(r, s -> false), "
         f"(acc, s) -> if(exists(acc, a -> {clash}), acc, concat(acc, array(s))))"
     )
-    return f"get(transform(array({ranked}), r -> {fold}), 0)"
+    size = (
+        "named_struct('lo', array_min(transform(r, s -> s.start)), 'n', cast(ceil(sqrt(size(r))) as int), 'w', "
+        "greatest(1, cast(ceil((array_max(transform(r, s -> s.end)) - array_min(transform(r, s -> s.start))) / ceil(sqrt(size(r)))) as int)))"
+    )
+    first, last = "cast(({x}.start - z.lo) div z.w as int)", "cast((greatest({x}.end - 1, {x}.start) - z.lo) div z.w as int)"
+    c0, c1 = first.format(x="s"), last.format(x="s")
+    cells = (
+        f"aggregate(r, transform(sequence(0, z.n), i -> filter(r, s -> false)), (acc, s) -> "
+        f"if(exists(slice(acc, {c0} + 1, {c1} - {c0} + 1), b -> exists(b, a -> {clash})), acc, "
+        f"transform(acc, (b, i) -> if(i between {c0} and {c1}, concat(b, array(s)), b))), "
+        # a span of several cells comes out of its first
+        f"acc -> flatten(transform(acc, (b, i) -> filter(b, a -> {first.format(x='a')} = i))))"
+    )
+    large = f"get(transform(array({size}), z -> {cells}), 0)"
+    return f"get(transform(array({ranked}), r -> if(size(r) <= {_SMALL_ISLAND}, {fold}, {large})), 0)"
 
 
 def keep_by_island(spans: DataFrame, by: list[str], *rounds: tuple[list[str], str]) -> DataFrame:
