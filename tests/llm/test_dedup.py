@@ -74,7 +74,9 @@ def test_substring_repeated_and_null_ids(spark):
     line = " ".join(f"q{i}" for i in range(25))
     rows = [(5, line), (5, line), (None, line), (5, line + " more")]
     out = substring_dedup(spark.createDataFrame(rows, DOCS), 20).collect()
-    assert sorted((r.id is None, r.n_words, r.n_removed) for r in out) == [(False, 25, 25), (False, 26, 25), (True, 25, 0)]
+    assert sorted((r.id is None, r.n_words, r.n_removed) for r in out) == [
+        (False, 25, 25), (False, 25, 25), (False, 26, 25), (True, 25, 0)
+    ]
 
 
 def test_words_and_rolling():

@@ -28,25 +28,25 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(key long, id, text string)`` with one row per distinct (id, text), in the order of the ids.
+    """``(key long, id, text string, copies long)`` with one row per distinct (id, text), in the order of the ids.
 
     Where ids are unique and not null, the key is the id and nothing is moved. Else rows with equal id and
-    text are one document, null ids come first, equal ids are ordered by the hash of their text, and the
-    keys are dense numbers in that order.
+    text are one document of several ``copies``, null ids come first, equal ids are ordered by the hash of their
+    text, and the keys are dense numbers in that order.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     repeated = rows.groupBy("id").count().where("count > 1 or id is null").limit(1).count()
     if not repeated:
-        return rows.select(F.col("id").alias("key"), "id", "text")
+        return rows.select(F.col("id").alias("key"), "id", "text", F.lit(1).cast("long").alias("copies"))
     from ..plans.numbering import sequence_table, with_dense_number
 
     tagged = rows.withColumn("tag", F.sha2(F.coalesce("text", F.lit("")), 256))
     order = tagged.select(F.coalesce("id", F.lit(-(1 << 63))).alias("at"), "id", "tag").distinct()
     numbers = with_dense_number(sequence_table(order, ["at", "id", "tag"], "llm-keys"), "key").select("key", "id", "tag")
     numbers = stage(numbers.select("key", F.col("id").alias("nid"), F.col("tag").alias("ntag")), "llm-keys")
-    once = tagged.groupBy("id", "tag").agg(F.first("text").alias("text"))
+    once = tagged.groupBy("id", "tag").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     return once.join(numbers, F.col("id").eqNullSafe(F.col("nid")) & (F.col("tag") == F.col("ntag"))).select(
-        "key", "id", "text"
+        "key", "id", "text", "copies"
     )
 
 
