@@ -33,6 +33,10 @@ PHONE_PATTERNS = [
     ("area_in_brackets", r"\(\d{3}\)\s?\d{3}[-.]?\d{4}\b"),
     ("three_groups", r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b"),
 ]
+EMAIL_PATTERN = (
+    r"\b[a-zA-Z0-9][a-zA-Z0-9._%+-]*@[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?"
+    r"(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?)*\.[a-zA-Z]{2,}\b"
+)
 IBAN_PATTERN = r"\b[A-Z]{2}\d{2}[\s]?[\dA-Z]{4}[\s]?(?:[\dA-Z]{4}[\s]?){1,7}[\dA-Z]{1,4}\b"
 # name, value, whether it stands between quotes, blanks or signs
 KEY_PATTERNS = [
