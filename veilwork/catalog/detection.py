@@ -239,7 +239,7 @@ _STRICT = f"""
     select a.doc_id, a.s as s1, a.e as e1, a.v as v1, b.s as s2, b.e as e2, b.v as v2, a.is_f and b.is_l as fl
     from flagged a join flagged b on a.doc_id = b.doc_id and b.n = a.n + 1
     where (a.is_f and b.is_l) or (a.is_l and b.is_f))
-  select distinct * from (
+  select * from (
     select doc_id, s1 as span_start, e1 as span_end, v1 as raw_value, case when fl then 'firstname' else 'lastname' end as pii_type,
       cast(0.9 as double) as confidence from pairs
     union all
@@ -248,7 +248,7 @@ _STRICT = f"""
 
 @query("detect_names_strict", _STRICT)
 def detect_names_strict(spark, sf):
-    return span_output(wordlists.strict_names(documents(spark, sf), _terms(spark, sf))).distinct()
+    return span_output(wordlists.strict_names(documents(spark, sf), _terms(spark, sf)))
 
 
 _STREETS = f"""
