@@ -1,5 +1,8 @@
 """Registration, rewriting, restoring, state, columns and streams."""
 
+import csv
+import io
+import random
 from pathlib import Path
 
 import pytest
@@ -20,6 +23,7 @@ from veilwork.sources import jobs
 from veilwork.sources.files import write_files
 from veilwork.sources.jobs import anonymize_files, anonymize_folder, restore_files, restore_folder
 from veilwork.sources.state import commit_state, load_state
+from veilwork.sources.tables import read_delimited
 from veilwork.streaming.incremental import anonymize_batch, anonymize_stream, read_state
 from veilwork.streaming.lookup import BatchState, KeyTable
 
@@ -400,6 +404,23 @@ def test_delimited_files(spark, tmp_path):
     assert [r.value for r in read_values(spark, str(tmp_path / "v.csv"), 1).orderBy("n").collect()] == ["e\nf", "g"]
 
 
+@pytest.mark.parametrize("block,stray", [(1 << 20, False), (64, False), (7, False), (200, True)])
+def test_delimited_blocks(spark, tmp_path, block, stray):
+    """Blocks of a few bytes cut quoted cells, line breaks in cells and quotes in quotes anywhere."""
+    rnd = random.Random(block)
+    cells = ["", "x", "é ü", "a,b", "l1\nl2", "l1\r\nl2", 'say ""hi""'.replace('""', '"'), '"', "\n", ",", "end "]
+    rows = [[rnd.choice(cells) for _ in range(3)] for _ in range(60)]
+    text = io.StringIO(newline="")
+    csv.writer(text, lineterminator=rnd.choice(["\n", "\r\n"])).writerows([["a", "B", "b"], *rows])
+    body = text.getvalue() + ("5\" pipe,x,y\n" if stray else "short\n,,,,long\n\nlast,row,no break")
+    (tmp_path / "t.csv").write_bytes(body.encode())
+    want = [r for r in csv.reader(io.StringIO(body, newline="")) if r][1:]
+    got = read_delimited(spark, str(tmp_path / "t.csv"), ",", block).orderBy("row_id").collect()
+    assert got[0].__fields__ == ["row_id", "a", "B1", "b2"]
+    assert [r.row_id for r in got] == list(range(len(want)))
+    assert [list(r)[1:] for r in got] == [(r + [""] * 3)[:3] for r in want]
+
+
 def test_left_context_of_dense_matches(spark, corpus):
     docs = corpus(["".join(f"({i:03d}) 555-1234" for i in range(30))])
     spans = span_rows(docs, pick_rules(["phone"]), ["doc_id"]).orderBy("start").collect()

@@ -12,6 +12,8 @@ from ..operators.registry import REGISTRY_SCHEMA, register
 from ..operators.rewrite import anonymize, deanonymize
 from ..plans import stage, stage_root
 from ..sources.corpus import list_files, read_corpus, read_table, read_values, write_corpus
+from ..sources.files import write_files
+from ..sources.tables import read_delimited
 from ..streaming.incremental import anonymize_stream, deanonymize_stream, read_state, without_replays
 from .registry import CASE, documents, first_empty, query, table
 from .rewriting import DOC_REGISTRY
@@ -47,14 +49,32 @@ def q_list_files(spark, sf):
     return list_files(spark, _talks(spark, sf)).selectExpr("split_part(path, '/', 1) as folder", "length")
 
 
-@query("read_table", "select cast(c_custkey as varchar) as c_custkey, c_name, c_mktsegment from customer")
+@query("read_table", """
+  select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as c_nationkey, c_mktsegment from customer""")
 def q_read_table(spark, sf):
     """A delimited file with header, all columns as strings."""
     path = folder(spark, "customer") + ".tsv"
-    table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(path, header=True, sep="\t")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    rows.write.csv(path, header=True, sep="\t")
     return read_table(spark, path).drop("row_id")
 
 
+@query("read_table_blocks", """
+  select cast(row_number() over (order by doc_id) - 1 as bigint) as row_id, cast(doc_id as varchar) as doc_id, lang, md5(text) as text_hash
+  from documents""")
+def read_table_blocks(spark, sf):
+    """Whole texts as quoted cells with line breaks and quotes, in one file that is read in small blocks."""
+    quoted = "concat(doc_id, ',', lang, ',\"', replace(text, '\"', '\"\"'), '\"')"
+    rows = table(spark, sf, "documents").orderBy("doc_id").selectExpr(f"{quoted} as line", "doc_id")
+    body = rows.selectExpr("doc_id div 500 as n", "doc_id", "line").groupBy("n").agg(
+        F.expr("concat('doc_id,lang,text\n', array_join(transform(array_sort(collect_list(struct(doc_id, line))), x -> x.line), '\n'))").alias("text")
+    )
+    path = folder(spark, "texts") + ".csv"
+    write_files(body.selectExpr("concat('part-', lpad(n, 9, '0'), '.csv') as path", "text"), path)
+    out = read_delimited(spark, path, ",", block_bytes=1 << 16)
+    return out.selectExpr("row_id", "doc_id", "lang", "md5(text) as text_hash")
+
+
 @query("read_values", "select distinct trim(c_mktsegment) as value from customer")
 def q_read_values(spark, sf):
     """One column of a CSV file as a list of protected values."""

@@ -10,6 +10,7 @@ from ..operators.allowlist import clean_values
 from ..operators.reports import file_formats
 from ..plans import sequence_table, with_dense_number
 from .files import list_tree, with_content
+from .tables import read_delimited
 
 _TEXT = (
     "if(is_valid_utf8(cast(content as string)), cast(content as string), decode(content, 'ISO-8859-1'))"
@@ -39,14 +40,9 @@ def read_corpus(spark: SparkSession, root: str, recursive: bool = True) -> DataF
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV or TSV with header, all strings, with ``row_id`` in file order; an empty cell is an empty string.
 
-    Quoted cells may hold line breaks, so a file is read by one task; several files are ordered by name.
+    Quoted cells may hold line breaks; large files are read by many tasks all the same. Several files are ordered by name.
     """
-    suffix = "." + path.rsplit(".", 1)[-1].lower()
-    table = spark.read.csv(
-        path, header=True, sep=TABLE_EXTENSIONS[suffix], quote='"', escape='"', multiLine=True,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
-    return _in_file_order(table, "row_id").na.fill("", table.columns)
+    return read_delimited(spark, path, TABLE_EXTENSIONS["." + path.rsplit(".", 1)[-1].lower()])
 
 
 def _in_file_order(rows: DataFrame, name: str) -> DataFrame:
