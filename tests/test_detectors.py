@@ -147,3 +147,13 @@ def test_own_rules_and_names_join_the_choice(spark, corpus):
     assert sorted((r.doc_id, r.raw_value, r.pii_type) for r in rows) == [
         (0, "Anna", "firstname"), (0, "EMP-1234", "badge"), (0, "anna.lee@example.org", "email"), (1, "Anna", "firstname"),
     ]
+
+
+def test_detect_settles_spans_in_their_row(corpus):
+    docs = corpus(["mail to a.bee@mail1.example.com, phone +1 (555) 123-4567", "nothing", None], 2)
+    for spans in (detect(docs, protect=True), candidate_spans(docs, pick_rules())):
+        plan = spans._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate [" not in plan
+    same = docs.selectExpr("7L as doc_id", "ord", "text").union(corpus(["user: x.y_z@mail2.example.com"]).selectExpr("7L", "1L", "text"))
+    found = {r.raw_value for r in detect(same, protect=True, include=["email"]).collect()}
+    assert found == {"a.bee@mail1.example.com", "x.y_z@mail2.example.com"}
