@@ -157,3 +157,12 @@ def test_detect_settles_spans_in_their_row(corpus):
     same = docs.selectExpr("7L as doc_id", "ord", "text").union(corpus(["user: x.y_z@mail2.example.com"]).selectExpr("7L", "1L", "text"))
     found = {r.raw_value for r in detect(same, protect=True, include=["email"]).collect()}
     assert found == {"a.bee@mail1.example.com", "x.y_z@mail2.example.com"}
+
+
+def test_strict_names_query_gives_a_shared_word_once(spark, tmp_path):
+    from veilwork.catalog import QUERIES
+
+    spark.createDataFrame([(1, "novak anna novak. Eric novak")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Anna novak")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted((r.span_start, r.raw_value, r.pii_type) for r in QUERIES["detect_names_strict"](spark, str(tmp_path)).collect())
+    assert found == [(0, "novak", "lastname"), (6, "anna", "firstname"), (11, "novak", "lastname")]
