@@ -3,7 +3,7 @@
 import pytest
 
 from veilwork.operators.detect import candidate_spans, custom_spans, detect, pick_rules
-from veilwork.operators.wordlists import loose_names
+from veilwork.operators.wordlists import loose_names, strict_names
 from veilwork.rules import Rule
 
 HEX64 = "a1b2c3d4" * 8
@@ -166,3 +166,12 @@ def test_strict_names_query_gives_a_shared_word_once(spark, tmp_path):
     spark.createDataFrame([(1, "Anna novak")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = sorted((r.span_start, r.raw_value, r.pii_type) for r in QUERIES["detect_names_strict"](spark, str(tmp_path)).collect())
     assert found == [(0, "novak", "lastname"), (6, "anna", "firstname"), (11, "novak", "lastname")]
+
+
+def test_strict_names_build_no_pattern_for_a_document(corpus, spark):
+    terms = spark.createDataFrame([("Anna", "firstname"), ("Novak", "lastname")], "term string, pii_type string")
+    names = strict_names(corpus(["see ANNA, novak and Anna xx Novak", "Novak\nanna Novak"]), terms)
+    assert "hit_pattern" not in names._jdf.queryExecution().toString()
+    found = sorted((r.doc_id, r.start, r.raw_value, r.left_ctx, r.right_ctx) for r in names.collect())
+    assert found[:2] == [(0, 4, "ANNA", "see ", ", novak and Anna xx "), (0, 10, "novak", "see ANNA, ", " and Anna xx Novak")]
+    assert [f[1:3] for f in found[2:]] == [(0, "Novak"), (6, "anna"), (6, "anna"), (11, "Novak")]
