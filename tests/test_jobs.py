@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from veilwork.catalog import corpora
 from veilwork.operators import allowlist as A
 from veilwork.operators.audit import inconsistent_mappings, leaks, round_trip_differences
 from veilwork.operators.columns import anonymize_table, put_back, restore_table, target_columns, template_columns, templates
@@ -450,3 +451,14 @@ def test_stages_are_removed(spark, tmp_path):
     clear_stages(spark)
     with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist|PATH_NOT_FOUND"):
         staged.select("id").collect()
+
+
+def test_stream_query_has_three_batches_whatever_the_splits(spark, tmp_path):
+    """Each batch has fixed costs, so their number must not follow the files or splits of the table."""
+    for pieces in (1, 7):
+        rows = spark.range(300).selectExpr("id as doc_id", "concat('text ', id) as text").repartition(pieces)
+        rows.write.parquet(f"{tmp_path}/{pieces}/documents.parquet")
+        seen = []
+        arriving = corpora._arrivals(spark, f"{tmp_path}/{pieces}")
+        corpora._run(arriving.writeStream.foreachBatch(lambda b, n: seen.append([r[0] for r in b.select("ord").collect()])), spark)  # noqa: B023
+        assert [sorted(x) for x in seen] == [list(range(i, 300, 3)) for i in range(3)]

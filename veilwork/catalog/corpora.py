@@ -11,6 +11,7 @@ from ..operators.detect import detect
 from ..operators.registry import REGISTRY_SCHEMA, register
 from ..operators.rewrite import anonymize, deanonymize
 from ..plans import stage, stage_root
+from ..plans.spread import spread
 from ..sources.corpus import list_files, read_corpus, read_table, read_values, write_corpus
 from ..sources.files import write_files
 from ..sources.tables import read_delimited
@@ -92,15 +93,17 @@ def q_write_corpus(spark, sf):
 
 
 def _arrivals(spark, sf):
-    """The documents as three files that a stream reads one at a time."""
+    """The documents in three parts that a stream reads one at a time, each in as many files as the table has splits."""
     arrived = folder(spark, "arrivals")
+    docs = spread(table(spark, sf, "documents"))
+    files = docs.rdd.getNumPartitions()
     for i in range(3):
-        part = table(spark, sf, "documents").where(F.col("doc_id") % 3 == i)
-        part.selectExpr(
+        part = docs.where(F.col("doc_id") % 3 == i).selectExpr(
             "cast(doc_id as string) as doc_id", "doc_id as ord", "concat('d/', doc_id) as path", "text"
-        ).write.mode("append").parquet(arrived)
+        )
+        part.repartition(files).write.mode("append").parquet(arrived)
     return spark.readStream.schema("doc_id string, ord bigint, path string, text string").option(
-        "maxFilesPerTrigger", 1
+        "maxFilesPerTrigger", files
     ).parquet(arrived)
 
 

@@ -110,8 +110,8 @@ def anonymize_batch(batch: DataFrame, batch_id: int, state_dir: str, out: str, c
     keys = entry_keys(own.select("variant").distinct())
     keyed = own.join(keys, "variant").withColumn("h", hashed("entry", case_id, "_key")).drop("_key")
     sizes = sorted({*last.get("sizes", []), *wordless_sizes(own)})
-    there = stage(text_keys(fresh, sizes).select(hashed("entry", case_id, "_key").alias("h")), "text-keys")
-    older = entries.find(there).drop("h")
+    there = text_keys(fresh, sizes).select(hashed("entry", case_id, "_key").alias("h"))
+    older = entries.find(stage(there, "text-keys") if entries.live else there).drop("h")
     use = stage(last_spellings(older.unionByName(own.select(older.columns))), "entries")
     _write_batch(replace_hits(fresh.drop("h"), use, "token"), out, batch_id)
 
