@@ -1,11 +1,14 @@
 """Registration, rewriting, restoring, state, columns and streams."""
 
+import contextlib
 import csv
 import io
+import os
 import random
 from pathlib import Path
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from veilwork.catalog import corpora
@@ -20,7 +23,7 @@ from veilwork.operators.rewrite import anonymize, anonymize_corpus, deanonymize,
 from veilwork.plans import clear_stages, lookup_join, sequence_table, stage, with_dense_number, with_group_number
 from veilwork.operators.spans import span_rows
 from veilwork.sources.corpus import list_files, read_corpus, read_table, read_values, write_bucketed_corpus
-from veilwork.sources import jobs
+from veilwork.sources import files, jobs
 from veilwork.sources.files import write_files
 from veilwork.sources.jobs import anonymize_files, anonymize_folder, restore_files, restore_folder
 from veilwork.sources.state import commit_state, load_state
@@ -462,3 +465,43 @@ def test_stream_query_has_three_batches_whatever_the_splits(spark, tmp_path):
         arriving = corpora._arrivals(spark, f"{tmp_path}/{pieces}")
         corpora._run(arriving.writeStream.foreachBatch(lambda b, n: seen.append([r[0] for r in b.select("ord").collect()])), spark)  # noqa: B023
         assert [sorted(x) for x in seen] == [list(range(i, 300, 3)) for i in range(3)]
+
+
+def test_conversation_files_are_written_by_tasks(spark, tmp_path):
+    rows = [(7, 2, "b"), (7, None, "a"), (7, 3, None), (-1, 1, "x\ny"), (None, 1, "z")]
+    root = corpora.talk_files(spark, spark.createDataFrame(rows, "conv_id long, turn long, text string"))
+    root = Path(root)
+    found = {p.parent.name: p.read_text() for p in root.rglob("*") if p.is_file()}
+    assert found == {"conv_id=7": "a\nb\n\n", "conv_id=-1": "x\ny\n", "conv_id=__HIVE_DEFAULT_PARTITION__": "z\n"}
+    assert not [p for p in root.iterdir() if p.is_file()]  # a job that the driver commits leaves a mark
+
+
+def test_spans_meet_the_allowlist_after_one_detection(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        rows.add(1)
+        return value
+
+    spans = spark.range(40).select("id", F.udf(seen, "string")(F.concat(F.lit("v"), F.col("id") % 4)).alias("raw_value"))
+    listed = spark.createDataFrame([("c", "V1", "ioc", "")], "case_id string, value string, value_type string, reason string")
+    assert A.drop_allowed(spans.withColumn("pii_type", F.lit("name")), listed, "c").count() == 30
+    assert rows.value == 40
+
+
+def test_a_folder_is_listed_as_a_stream(tmp_path, monkeypatch):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "gone").symlink_to(tmp_path / "nothing")
+    assert sorted(files._entries(fs.LocalFileSystem(), str(tmp_path))) == [("a", 1, False), ("b", 1, False), ("gone", 0, False)]
+    read = []
+    scan = os.scandir
+
+    @contextlib.contextmanager
+    def counted(path):
+        with scan(path) as found:
+            yield (read.append(x) or x for x in found)
+
+    monkeypatch.setattr(files.os, "scandir", counted)
+    next(files._entries(fs.LocalFileSystem(), str(tmp_path)))
+    assert len(read) == 1

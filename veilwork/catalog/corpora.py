@@ -24,14 +24,23 @@ def folder(spark, name):
     return f"{stage_root(spark)}/veilwork/{name}-{uuid.uuid4().hex}"
 
 
-def _talks(spark, sf):
-    """One text file per conversation, one line break after each turn."""
+def talk_files(spark, lines):
+    """One folder ``conv_id=…`` with one text file per conversation of ``lines(conv_id, turn, text)``, a line break after each turn.
+
+    Tasks write the files under their final names: a partitioned write would have the driver move every folder by itself.
+    """
     root = folder(spark, "talks")
-    talks = table(spark, sf, "conversations").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    talks.select("conv_id", "text").write.partitionBy("conv_id").text(root)
+    body = "concat(array_join(transform(array_sort(collect_list(struct(turn, text))), x -> coalesce(x.text, '')), '\n'), '\n')"
+    talks = lines.groupBy("conv_id").agg(F.expr(body).alias("text"))
+    name = "concat('conv_id=', coalesce(cast(conv_id as string), '__HIVE_DEFAULT_PARTITION__'), '/part-00000.txt')"
+    write_files(talks.selectExpr(f"{name} as path", "text"), root)
     return root
 
 
+def _talks(spark, sf):
+    return talk_files(spark, table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+
+
 _TALKS = "select conv_id, string_agg(text || chr(10), '' order by turn) as text from conversations group by conv_id"
 
 

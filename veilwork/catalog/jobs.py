@@ -11,7 +11,7 @@ from ..operators.registry import empty_case
 from ..sources.corpus import list_files, read_corpus
 from ..sources.files import write_files
 from ..sources.jobs import anonymize_files, anonymize_folder, restore_files, restore_folder
-from .corpora import folder
+from .corpora import folder, talk_files
 from .registry import CASE, documents, query, table, view
 
 
@@ -20,12 +20,9 @@ _MAIL = "concat('mail c.', cast({k} as varchar(20)), '@talk.example.org')"
 
 def _files(spark, sf):
     """One text file per conversation, a line per turn, and a last line with a mail address of its own."""
-    root = folder(spark, "talks")
     talks = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     last = talks.select("conv_id").distinct().selectExpr("conv_id", "1L << 40 as turn", f"{_MAIL.format(k='conv_id')} as text")
-    lines = talks.unionByName(last).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    lines.select("conv_id", "text").write.partitionBy("conv_id").text(root)
-    return root
+    return talk_files(spark, talks.unionByName(last))
 
 
 def _texts(spark, out):

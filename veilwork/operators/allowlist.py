@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import after_first_at, normal_domain, q
+from ..plans.staging import stage
 
 
 def drop_allowed(spans: DataFrame, allowlist: DataFrame, case_id: str) -> DataFrame:
     """Spans whose value, mail domain or host domain is not on the allowlist of the case.
 
-    All three tests are equi-joins: the span gives every key under which it could be listed.
+    All three tests are equi-joins: the span gives every key under which it could be listed. The spans are staged, as
+    they are read twice and mostly come from a detection.
     """
+    spans = stage(spans, "spans")
     listed = allowlist.where(F.col("case_id") == case_id)
     entries = (
         listed.selectExpr("concat('v:', lower(value)) as k")

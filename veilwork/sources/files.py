@@ -13,6 +13,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -51,24 +52,38 @@ def _leftover(name: str) -> bool:
     return name == "_SUCCESS" or (name.startswith(".") and name.endswith(".crc"))
 
 
+def _entries(store: fs.FileSystem, base: str) -> Iterator[tuple[str, int, bool]]:
+    """``(name, length, is folder)`` of a folder; a local one is read as a stream, whatever its size."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(base) as found:
+            for x in found:
+                is_folder = x.is_dir()
+                if not (_leftover(x.name) or (is_folder and x.is_symlink())):
+                    yield x.name, 0 if is_folder else _size(x), is_folder
+        return
+    for x in store.get_file_info(fs.FileSelector(base)):
+        if not _leftover(x.base_name):
+            yield x.base_name, x.size or 0, x.type == fs.FileType.Directory
+
+
+def _size(entry: os.DirEntry) -> int:
+    try:
+        return entry.stat().st_size
+    except FileNotFoundError:  # a link to nothing
+        return 0
+
+
 def list_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """``files(path, length)`` under ``root``, path relative to it, whatever the names; linked folders aren't entered."""
     uri = store_uri(spark, root)
 
     def entries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(uri)
-        local = isinstance(store, fs.LocalFileSystem)
         for p in parts:
             for folder in p.column(0).to_pylist():
-                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
-                rows = []
-                for x in found:
-                    is_folder = x.type == fs.FileType.Directory
-                    if _leftover(x.base_name) or (is_folder and local and os.path.islink(x.path)):
-                        continue
-                    rows.append((f"{folder}/{x.base_name}" if folder else x.base_name, x.size or 0, is_folder))
-                for lo in range(0, len(rows), 1 << 14):
-                    cols = zip(*rows[lo : lo + (1 << 14)], strict=True)
+                found = _entries(store, f"{base}/{folder}" if folder else base)
+                while rows := [(f"{folder}/{n}" if folder else n, *rest) for n, *rest in islice(found, 1 << 14)]:
+                    cols = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _LISTED, strict=True)], schema=_LISTED)
 
     level, files = spark.createDataFrame([("",)], "path string"), None
@@ -156,11 +171,11 @@ def write_files(docs: DataFrame, out: str) -> DataFrame:
         _, aside = open_store(spare)
         store.create_dir(aside, recursive=True)
         for p in parts:
-            done = []
-            for path, data in zip(p.column(0).to_pylist(), p.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            done, texts = [], p.column(1).cast(pa.binary())
+            for path, text in zip(p.column(0).to_pylist(), texts, strict=True):
                 if path.startswith("/") or ".." in path.split("/"):
                     raise ValueError(f"not a path under the output folder: {path}")
-                data = data or b""
+                data = text.as_py() or b""  # one text at a time leaves the batch
                 _put(store, f"{base}/{path}", data, f"{aside}/{uuid.uuid4().hex}")
                 done.append((path, len(data), hashlib.sha256(data).hexdigest()))
             if done:
