@@ -5,8 +5,10 @@ import csv
 import io
 import os
 import random
+import tracemalloc
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
@@ -505,3 +507,14 @@ def test_a_folder_is_listed_as_a_stream(tmp_path, monkeypatch):
     monkeypatch.setattr(files.os, "scandir", counted)
     next(files._entries(fs.LocalFileSystem(), str(tmp_path)))
     assert len(read) == 1
+
+
+def test_texts_leave_a_batch_one_by_one():
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(50)] + ["none"], "text": ["x" * 1_000_000] * 50 + [None]})
+    tracemalloc.start()
+    try:
+        sizes = {path: len(data) for path, data in files._one_by_one(batch)}
+        assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    finally:
+        tracemalloc.stop()
+    assert sizes.pop("none") == 0 and len(sizes) == 50 and set(sizes.values()) == {1_000_000}

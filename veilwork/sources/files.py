@@ -156,6 +156,12 @@ def _put(store: fs.FileSystem, final: str, data: bytes, spare: str) -> None:
             raise
 
 
+def _one_by_one(rows: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """Paths and texts of a batch; a text leaves the batch when it is its turn."""
+    for path, text in zip(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()), strict=True):
+        yield path, text.as_py() or b""
+
+
 def write_files(docs: DataFrame, out: str) -> DataFrame:
     """Write ``docs(path, text)`` as ``out/<path>``, byte for byte in UTF-8; gives ``(path, length, file_hash)`` (staged).
 
@@ -171,11 +177,10 @@ def write_files(docs: DataFrame, out: str) -> DataFrame:
         _, aside = open_store(spare)
         store.create_dir(aside, recursive=True)
         for p in parts:
-            done, texts = [], p.column(1).cast(pa.binary())
-            for path, text in zip(p.column(0).to_pylist(), texts, strict=True):
+            done = []
+            for path, data in _one_by_one(p):
                 if path.startswith("/") or ".." in path.split("/"):
                     raise ValueError(f"not a path under the output folder: {path}")
-                data = text.as_py() or b""  # one text at a time leaves the batch
                 _put(store, f"{base}/{path}", data, f"{aside}/{uuid.uuid4().hex}")
                 done.append((path, len(data), hashlib.sha256(data).hexdigest()))
             if done:
