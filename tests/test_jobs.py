@@ -518,3 +518,14 @@ def test_texts_leave_a_batch_one_by_one():
     finally:
         tracemalloc.stop()
     assert sizes.pop("none") == 0 and len(sizes) == 50 and set(sizes.values()) == {1_000_000}
+
+
+def test_log_texts_are_dealt_by_rows(spark, monkeypatch):
+    """The rows behind the log texts are few bytes, so neither files nor shuffles may set the number of tasks."""
+    from veilwork.catalog.registry import corpus
+    from veilwork.plans import spread
+
+    monkeypatch.setattr(spread, "ROWS_PER_TASK", 100)
+    texts = corpus(spark, "/root/testdata/sf0.001", "ev_log")
+    assert texts.rdd.getNumPartitions() == 15
+    assert texts.selectExpr("count(*) as n", "count(distinct doc_id) as d").first() == (1500, 1500)

@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from ..fixed import COLUMN_TYPE_DEFAULT, COLUMN_TYPE_HINTS, TEMPLATES
 from ..functions.text import q
-from ..plans import stage
+from ..plans import deal, stage
 from .allowlist import drop_allowed
 from .registry import register
 from .rewrite import anonymize, deanonymize, find_spans
@@ -157,7 +157,7 @@ def register_table(
         f"`{row_id}` as doc_id", f"struct(`{row_id}` as row_id, -1 as pos) as ord",
         "concat_ws(',', " + ", ".join(f"cast(`{c}` as string)" for c in texts) + ") as text",
     )
-    first = find_spans(lines, case_id, **options)
+    first = find_spans(deal(lines, "doc_id", table.count()), case_id, **options)
     grown = registry.unionByName(register(first, registry, case_id))
     known = grown.where(F.col("case_id") == case_id).selectExpr("raw_value as doc_id")
     open_cells = distinct.join(known, "doc_id", "left_anti")
