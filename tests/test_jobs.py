@@ -529,3 +529,16 @@ def test_log_texts_are_dealt_by_rows(spark, monkeypatch):
     texts = corpus(spark, "/root/testdata/sf0.001", "ev_log")
     assert texts.rdd.getNumPartitions() == 15
     assert texts.selectExpr("count(*) as n", "count(distinct doc_id) as d").first() == (1500, 1500)
+
+
+def test_entries_are_cut_once(spark, capsys):
+    """No filter below the keys of the entries cuts the texts again."""
+    from veilwork.operators.dictionary import entry_anchors
+
+    entries = spark.range(3).selectExpr("concat('a.b', id) as variant", "'x' as name")
+    anchors = entry_anchors(entries, "name")
+    assert {(r.core, r.k) for r in anchors.collect()} == {("a.b0", 2), ("a.b1", 2), ("a.b2", 2)}
+    capsys.readouterr()
+    anchors.explain()
+    filters = [line for line in capsys.readouterr().out.splitlines() if "Filter" in line]
+    assert filters and not any("split(" in line for line in filters)
